@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import digests, format_chat
 from .common import table
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .simhash import near_duplicates
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +40,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
@@ -42,6 +48,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": r"""
+        WITH doc AS (
+            SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h FROM documents
+        ), item AS (
+            SELECT min(item_id) AS item_id, h
+            FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h FROM benchmark)
+            GROUP BY h HAVING len(h) >= 8
+        ), mask AS (
+            SELECT * FROM (VALUES (0, [0, 1, 2, 4, 5, 7]), (1, [0, 1, 3, 4, 6, 7]), (2, [0, 2, 3, 5, 6, 7])) t(mask, kept)
+        ), doc_pos AS (SELECT doc_id, h, unnest(range(0, len(h) - 7)) AS pos FROM doc WHERE len(h) >= 8
+        ), item_pos AS (SELECT item_id, h, unnest(range(0, len(h) - 7)) AS pos FROM item
+        ), doc_seed AS (
+            SELECT doc_id, pos, mask, list_transform(kept, lambda k: h[pos + k + 1]) AS seed FROM doc_pos, mask
+        ), item_seed AS (
+            SELECT item_id, pos, mask, list_transform(kept, lambda k: h[pos + k + 1]) AS seed FROM item_pos, mask
+        ), laid AS (
+            SELECT DISTINCT d.doc_id, i.item_id, d.pos - i.pos AS lay FROM doc_seed d JOIN item_seed i USING (mask, seed)
+        ), one AS (
+            SELECT l.doc_id, l.item_id, l.lay, k, len(i.h) AS item_n,
+                   CASE WHEN d.h[l.lay + k + 1] = i.h[k + 1] THEN 1 ELSE -3 END AS s
+            FROM laid l JOIN doc d ON d.doc_id = l.doc_id JOIN item i ON i.item_id = l.item_id, unnest(range(0, len(i.h))) u(k)
+            WHERE l.lay + k >= 0 AND l.lay + k < len(d.h)
+        ), run AS (
+            SELECT *, sum(s) OVER (PARTITION BY doc_id, item_id, lay ORDER BY k) AS upto FROM one
+        ), best AS (
+            SELECT doc_id, item_id, item_n,
+                   upto - least(0, coalesce(min(upto) OVER (PARTITION BY doc_id, item_id, lay ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score
+            FROM run
+        )
+        SELECT doc_id, item_id, max(score)::BIGINT AS overlap FROM best
+        GROUP BY doc_id, item_id HAVING max(score) >= least(13, ceil(any_value(item_n) * 0.9))
+    """,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
