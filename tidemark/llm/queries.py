@@ -10,8 +10,15 @@ from .chat import digests, format_chat
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .language import identify
 from .packing import pack
+from .quality import classify
 from .simhash import near_duplicates
+from .toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1, threshold=0.7)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +39,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), folds=5, held=0)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -39,12 +50,19 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chat(turns))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0, threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_language": op8_language,
     "op9_chat": op9_chat,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
