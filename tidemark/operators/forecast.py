@@ -19,11 +19,11 @@ def seasonal_naive(split: DataFrame, h: int, m: Column | int, keys: tuple[str, .
     """(keys, step, yhat): the last season repeated; the last value where the past is shorter than a season."""
     p = _past(split, list(keys)).withColumn("m", m if isinstance(m, Column) else F.lit(m))
     whole = F.col("n") >= F.col("m")
-    first = F.when(whole, F.col("step") - (F.col("n") - F.col("m"))).otherwise(F.lit(0)).cast("int")
-    stride = F.when(whole, F.col("m")).otherwise(1).cast("int")
+    first = F.when(whole, F.col("step") - (F.col("n") - F.col("m"))).otherwise(F.lit(0)).cast("bigint")
+    stride = F.when(whole, F.col("m")).otherwise(1).cast("bigint")
     used = p.where((whole & (F.col("step") >= F.col("n") - F.col("m"))) | (~whole & (F.col("step") == F.col("n") - 1)))
     used = used.withColumns({"first": first, "stride": stride}).where(F.col("first") < h)
-    return used.select(*keys, F.explode(F.sequence(F.col("first"), F.lit(h - 1), F.col("stride"))).cast("bigint").alias("step"), F.col("v").alias("yhat"))
+    return used.select(*keys, F.explode(F.sequence(F.col("first"), F.lit(h - 1).cast("bigint"), F.col("stride"))).alias("step"), F.col("v").alias("yhat"))
 
 
 def quantiles(points: DataFrame, levels: tuple[float, ...]) -> DataFrame:
@@ -35,7 +35,7 @@ def seasonal_average(split: DataFrame, h: int, m: int, cycles: int = 4, keys: tu
     """(keys, step, yhat): the mean of the last ``cycles`` values of the same phase; needs that many full seasons."""
     p = _past(split, list(keys)).where((F.col("n") >= cycles * m) & (F.col("step") >= F.col("n") - cycles * m))
     phase = p.groupBy(*keys, ((F.col("step") - (F.col("n") - cycles * m)) % m).alias("phase")).agg(F.avg("v").alias("yhat"))
-    return phase.where(F.col("phase") < h).select(*keys, F.explode(F.sequence(F.col("phase").cast("int"), F.lit(h - 1), F.lit(m))).cast("bigint").alias("step"), "yhat")
+    return phase.where(F.col("phase") < h).select(*keys, F.explode(F.sequence(F.col("phase").cast("bigint"), F.lit(h - 1).cast("bigint"), F.lit(m).cast("bigint"))).alias("step"), "yhat")
 
 
 Forecaster = Callable[[np.ndarray, int, int], np.ndarray]

@@ -12,11 +12,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from ..functions.expressions import n_windows
 
-BY_TIME = Window.partitionBy("sid").orderBy("ts")
-WHOLE = Window.partitionBy("sid")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("sid").orderBy("ts")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("sid")
 
 
 def canonical(df: DataFrame, sid: Column, ts: Column, value: Column) -> DataFrame:
@@ -32,7 +39,7 @@ def zipped(df: DataFrame, sid: str, times: str, values: str) -> DataFrame:
 
 def positions(df: DataFrame) -> DataFrame:
     """pos counts from 0 by time within a series, n is the length; lags are positional."""
-    return df.withColumns({"pos": (F.row_number().over(BY_TIME) - 1).cast("bigint"), "n": F.count(F.lit(1)).over(WHOLE)})
+    return df.withColumns({"pos": (F.row_number().over(by_time()) - 1).cast("bigint"), "n": F.count(F.lit(1)).over(whole())})
 
 
 def resample(df: DataFrame, unit: str = "hour") -> DataFrame:
@@ -66,7 +73,7 @@ def summary(df: DataFrame) -> DataFrame:
 
 def modal_step(df: DataFrame) -> DataFrame:
     """The commonest step in microseconds, the smallest on a tie; NULL for a single point."""
-    step = df.select("sid", (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(BY_TIME))).alias("d"))
+    step = df.select("sid", (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(by_time()))).alias("d"))
     return step.groupBy("sid").agg(F.mode("d", True).alias("step_us"))
 
 
@@ -77,11 +84,11 @@ def segments(df: DataFrame, min_length: int) -> DataFrame:
     dropped. The modal step is a small table by series, joined back; nothing else leaves the sorted partition.
     """
     stepped = df.join(modal_step(df), "sid")
-    before, value_before = F.lag("ts").over(BY_TIME), F.lag("v").over(BY_TIME)
+    before, value_before = F.lag("ts").over(by_time()), F.lag("v").over(by_time())
     starts = F.col("v").isNotNull() & (before.isNull() | value_before.isNull() | (F.unix_micros("ts") - F.unix_micros(before) != F.col("step_us")))
-    marked = stepped.withColumn("segment_number", F.sum(starts.cast("int")).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("v").isNotNull())
+    marked = stepped.withColumn("segment_number", F.sum(starts.cast("int")).over(by_time().rowsBetween(Window.unboundedPreceding, 0))).where(F.col("v").isNotNull())
     run = Window.partitionBy("sid", "segment_number")
-    found = marked.withColumns({"segments_found": F.max("segment_number").over(WHOLE), "n": F.count(F.lit(1)).over(run), "pos": F.row_number().over(run.orderBy("ts")) - 1})
+    found = marked.withColumns({"segments_found": F.max("segment_number").over(whole()), "n": F.count(F.lit(1)).over(run), "pos": F.row_number().over(run.orderBy("ts")) - 1})
     return found.where(F.col("n") >= min_length).select("sid", "ts", "v", F.col("segment_number").cast("int"), F.col("segments_found").cast("int"), F.col("pos").cast("bigint"), "n")
 
 
@@ -125,7 +132,7 @@ def longest_run(df: DataFrame) -> DataFrame:
     return runs.join(best, ["sid", "segment_number"]).select("sid", "ts", "v")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _hash(values: pd.Series) -> pd.Series:
     as_bytes = lambda v: np.array([np.nan if x is None else x for x in v], "<f8").tobytes()
     return values.map(lambda v: hashlib.sha256(as_bytes(v)).hexdigest()[:16])

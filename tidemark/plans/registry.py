@@ -6,11 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import series_queries
+from . import score_queries, series_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(series_queries.QUERIES)
-ORACLES: dict[str, str] = dict(series_queries.ORACLES)
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = series_queries.QUERIES
+ORACLES: dict[str, str] = series_queries.ORACLES
+flagship = score_queries.flagship
