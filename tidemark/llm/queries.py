@@ -14,6 +14,7 @@ from .html import main_text
 from .language import identify
 from .packing import pack
 from .quality import classify
+from .repeats import digest, remove_repeats
 from .simhash import near_duplicates
 from .toxicity import toxicity
 
@@ -44,6 +45,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(remove_repeats(table(spark, sf_dir, "documents"), length=200))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), folds=5, held=0)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": op4_html,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_repeats": op7_repeats,
     "op8_language": op8_language,
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
