@@ -61,6 +61,8 @@ class PatriciaTrie:
             if at == len(text):
                 node.owner = owner if not node.count else self.better(node.owner, owner)
                 node.count += count
+                if self.held > self.limit:
+                    self._spill()
                 return
             child = node.children.get(text[at])
             if child is None:
@@ -75,8 +77,6 @@ class PatriciaTrie:
                     node.children[text[at]] = child = upper
             at += len(child.label)
             node = child
-            if self.held > self.limit:
-                self._spill()
 
     def _spill(self) -> None:
         """Move what hangs below the largest child of the root to a file that later texts of that branch join."""
