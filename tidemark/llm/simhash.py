@@ -28,19 +28,23 @@ PART_VARIANTS, LEAF_VARIANTS = 8_000_000, 1_500_000
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """The 64-bit SimHash of one text: XXH64 (seed 42) of its lower-cased word shingles, a bit set if in over half."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of the lower-cased word shingles, repeats included; of the whole sequence if it is shorter."""
     tokens = text.lower().split()
-    if not tokens:
-        return 0
     digest = xxhash.xxh64_intdigest
-    if len(tokens) < words:
-        return digest(b" ".join(tokens), 42)
+    if not tokens:
+        return np.zeros(0, np.uint64)
     line = b" ".join(tokens)
+    if len(tokens) < words:
+        return np.array([digest(line, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
     starts = np.concatenate(([0], ends[:-words])).tolist()
     ends = (ends[words - 1 :] - 1).tolist()
-    hashes = np.array([digest(line[s:e], 42) for s, e in zip(starts, ends, strict=True)], np.uint64)
+    return np.array([digest(line[s:e], 42) for s, e in zip(starts, ends, strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have set; zero for none."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 32768):
         part = hashes[i : i + 32768].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -48,6 +52,19 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int = 4) -> int:
+    """The 64-bit SimHash of one text."""
+    return majority(shingle_hashes(text, words))
+
+
+def _again(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent hash of each shingle, from its first one."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(doc_id, fp) per row; null and wordless texts get fingerprint zero."""
 
@@ -135,10 +152,11 @@ def collide(fps: np.ndarray, prefix: int, bits: int, radius: int) -> tuple[np.nd
 
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b): enough links between the distinct values of column ``fp`` to give the components at ``radius`` bits.
+    """(t, a, b): enough links between the distinct fingerprints ``fp`` of each table ``t`` to give the components at ``radius`` bits.
 
-    ``radius`` is even: half of it is the ball that each fingerprint stands for. The number of leading bits
-    follows the number of fingerprints, so that partitions stay of one size however many there are.
+    Without a column ``t`` all are of table 0. ``radius`` is even: half of it is the ball that each fingerprint
+    stands for. The number of leading bits follows the number of fingerprints, so that partitions stay of one size
+    however many there are.
     """
     if radius % 2:
         raise ValueError("radius must be even")
@@ -150,10 +168,10 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            fp = batch.column(0).to_numpy().view(np.uint64)
+            table, fp = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy().view(np.uint64)
             if not len(fp):
                 continue
-            prefix = ((fp >> np.uint64(64 - bits))[:, None] ^ spread[None, :]).ravel()
+            prefix = ((table << np.uint64(bits))[:, None] | ((fp >> np.uint64(64 - bits))[:, None] ^ spread[None, :])).ravel()
             order = np.argsort(prefix, kind="stable")
             prefix, value = prefix[order], np.repeat(fp, len(spread))[order]
             first = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
@@ -162,8 +180,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     def meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(prefix: int, bodies: list[bytes]) -> pa.RecordBatch:
-            a, b = collide(np.frombuffer(b"".join(bodies), np.uint64), prefix, bits, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            a, b = collide(np.frombuffer(b"".join(bodies), np.uint64), prefix & ((1 << bits) - 1), bits, radius)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), prefix >> bits, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["t", "a", "b"])
 
         now, bodies = None, []
         for batch in stream:
@@ -176,8 +194,9 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         if bodies:
             yield done(now, bodies)
 
-    dealt = fps.select("fp").mapInArrow(deal, "prefix long, body binary").repartition("prefix").sortWithinPartitions("prefix")
-    return dealt.mapInArrow(meet, "a long, b long")
+    rows = fps.select((F.col("t") if "t" in fps.columns else F.lit(0)).cast("int").alias("t"), "fp")
+    dealt = rows.mapInArrow(deal, "prefix long, body binary").repartition("prefix").sortWithinPartitions("prefix")
+    return dealt.mapInArrow(meet, "t int, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -194,3 +213,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, tables: int = 8) -> DataFrame:
+    """One row per row of ``docs``: doc_id, component_id (smallest doc_id reachable).
+
+    One fingerprint finds few of the copies that share four fifths of their shingles, since about ten of its bits
+    differ. ``tables`` independent ones, from hashes of the same shingles, find more: documents are linked if any
+    of theirs is within ``radius`` bits. Null, empty and wordless texts are linked with each other. Rows without an
+    id keep to themselves.
+    """
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            out = []
+            for x in blobs(batch.column(1)):
+                h = shingle_hashes(x, words)
+                out.append(np.array([majority(_again(h, k) if k else h) for k in range(tables)], np.uint64).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+
+    marked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fps array<long>"))
+    classes = marked.where("doc_id IS NOT NULL").groupBy("fps").agg(F.min("doc_id").alias("node"))
+    by_table = cut(classes.select("node", F.posexplode("fps").alias("t", "fp")))
+    # a fingerprint is known by the least class that has it
+    known = cut(by_table.groupBy("t", "fp").agg(F.min("node").alias("rep")))
+    same = by_table.join(known, ["t", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    near = links(known, radius)
+    near = near.join(known.select("t", F.col("fp").alias("a"), F.col("rep").alias("rep_a")), ["t", "a"]).join(known.select("t", F.col("fp").alias("b"), F.col("rep").alias("rep_b")), ["t", "b"])
+    edges = same.union(near.select("rep_a", "rep_b"))
+    root = connected_components(edges).select("node", "root")
+    named = classes.join(root, "node", "left").select("fps", F.coalesce("root", "node").alias("component_id"))
+    found = marked.join(named, "fps", "left")
+    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
