@@ -316,3 +316,23 @@ def test_imported_forecasts_must_be_whole(spark):
     assert P.import_forecasts(f, w, 3).count() == 3
     with pytest.raises(Exception, match="forecast steps"):
         P.import_forecasts(f, w, 4).collect()
+
+
+def test_quantile_model_in_batches(spark):
+    w = spark.createDataFrame([(str(i), [float(i)] * 3, 7) for i in range(5)], "sid string, past array<double>, seed long")
+
+    def load():
+        return lambda pasts, h, levels, seed: np.array([[[p[-1] + q for q in levels] for _ in range(h)] for p in pasts])
+
+    got = {(r.sid, r.step, r.q): r.yhat for r in P.apply_quantile_forecaster(w, load, 2, [0.1, 0.9], batch=2).collect()}
+    assert len(got) == 20 and got["3", 1, 0.9] == 3.9
+
+
+def test_a_failing_dataset_is_an_error_row(spark):
+    def score(name):
+        if name == "bad":
+            raise ValueError("x" * 500)
+        return spark.createDataFrame([(0.5,)], "mase double")
+
+    got = {r.dataset: (r.mase, r.error) for r in T.guarded(spark, ["good", "bad"], score).collect()}
+    assert got["good"] == (0.5, None) and got["bad"][0] is None and len(got["bad"][1]) == 120

@@ -124,3 +124,28 @@ def frozen_inputs(windows: DataFrame, errors: DataFrame, context: int, keys: tup
         *keys, F.transform(F.slice("past", F.greatest(F.size("past") - context + 1, F.lit(1)), context), lambda x: x.cast("float")).alias("context"),
         "target", F.size("target").cast("bigint").alias("horizon"), F.col("err").alias("seasonal_error"),
     )
+
+
+QuantileForecaster = Callable[[list[np.ndarray], int, list[float], int], np.ndarray]
+
+
+def apply_quantile_forecaster(windows: DataFrame, load: Callable[[], QuantileForecaster], h: int, levels: list[float], batch: int = 32, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
+    """(keys, step, q, yhat) from a model that forecasts quantiles for a batch of pasts.
+
+    ``load`` runs once per task and returns (pasts, h, levels, seed) -> array (pasts, h, levels); ``windows`` has
+    the keys, ``past`` and ``seed``. The seed of a batch is that of its first window, so order the windows if
+    results must repeat.
+    """
+    kinds = dict(windows.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for f in frames:
+            for i in range(0, len(f), batch):
+                part = f.iloc[i : i + batch]
+                out = np.asarray(model([np.array(x, float) for x in part["past"]], h, levels, int(part["seed"].iloc[0])))
+                grid = pd.MultiIndex.from_product([range(len(part)), range(h), levels], names=["i", "step", "q"]).to_frame(index=False)
+                found = part[list(keys)].iloc[grid["i"]].reset_index(drop=True)
+                yield found.assign(step=grid["step"], q=grid["q"], yhat=out.reshape(-1))
+
+    return windows.select(*keys, "past", "seed").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", step long, q double, yhat double")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,3 +32,19 @@ def overwrite(df: DataFrame, path: str, kind: str = "parquet", **options: str) -
 def overwrite_datasets(df: DataFrame, path: str, by: str = "dataset") -> None:
     """Replace only the datasets that ``df`` has, so that each one done is kept."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def guarded(spark: SparkSession, datasets: list[str], score: Callable[[str], DataFrame], most: int = 120) -> DataFrame:
+    """Scores of all datasets that can be scored, and a row with the start of the error for each that can't.
+
+    ``score`` gives a dataset's result; it is computed here, so that a failure shows and stops no other dataset.
+    """
+    out = spark.createDataFrame([], "dataset string, error string")
+    for name in datasets:
+        try:
+            rows = score(name).withColumns({"dataset": F.lit(name), "error": F.lit(None).cast("string")})
+            rows.write.format("noop").mode("overwrite").save()
+        except Exception as e:
+            rows = spark.createDataFrame([(name, str(e)[:most])], "dataset string, error string")
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
