@@ -13,7 +13,7 @@ from ..operators import series as S
 from ..operators import statistics as V
 from ..operators import surrogates as G
 from ..operators import windows as W
-from .inputs import SQL_EV, SQL_SHIP, ev, ord_, rounded, ship, sql_mase, sql_pos, sql_split, stamp, table
+from .inputs import SQL_EV, SQL_ORD, SQL_SHIP, ev, ord_, rounded, ship, sql_mase, sql_pos, sql_segments, sql_split, stamp, table
 from .series_queries import query
 
 H, OFFSET, M = 14, -28, 7
@@ -358,12 +358,15 @@ for _name, _key in (("harmonic", "harmonic_ols"), ("ar", "ar_ols"), ("ses", "ses
     query(_key)(_forecaster(_name))
 
 
-@query("frozen_inputs")
+@query("frozen_inputs", f"""{_MASE}, c AS (SELECT sid, list(v ORDER BY step) AS p FROM ship_s WHERE part = 'past' GROUP BY 1), t AS (SELECT sid, count(*) AS horizon, sum(v) AS total FROM ship_s WHERE part = 'target' GROUP BY 1)
+    SELECT sid, least(len(p), 512)::BIGINT AS context, horizon, round(total, 2) AS target, round(err, 4) AS seasonal_error FROM c JOIN t USING (sid) JOIN ship_e USING (sid)""")
 def frozen_inputs(spark, d):
     split, _, errors = _scored(ship(spark, d))
-    return P.frozen_inputs(W.as_arrays(split, ["sid"]), errors, 512)
+    f = P.frozen_inputs(W.as_arrays(split, ["sid"]), errors, 512)
+    total = F.aggregate("target", F.lit(0.0), lambda a, x: a + x)
+    return rounded(rounded(f.select("sid", F.size("context").cast("bigint").alias("context"), "horizon", total.alias("target"), "seasonal_error"), "target", digits=2), "seasonal_error", digits=4)
 
 
-@query("order_segments")
+@query("order_segments", f"WITH {SQL_ORD}, {sql_segments('ord', 12)} SELECT sid, segment_number, segments_found, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS n FROM ord_g GROUP BY 1, 2, 3")
 def order_segments(spark, d):
     return S.segment_table(ord_(spark, d), 12).select("sid", "segment_number", "segments_found", stamp("start"), stamp("end"), "n")
