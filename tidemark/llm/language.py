@@ -8,6 +8,7 @@ and a column for each byte, so a text is coded by one table lookup per byte for
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,14 +37,16 @@ class Trees:
     counts: list[np.ndarray]
 
     def table(self) -> Table:
-        key = id(self)
+        """The unrolled table, built once in a process for the same counts."""
+        parts = [repr(self.langs).encode(), *(x.tobytes() for x in (*self.codes, *self.counts))]
+        key = hashlib.sha256(b"|".join(parts)).hexdigest()
         if key not in _tables:
             _tables.clear()
             _tables[key] = Table(self)
         return _tables[key]
 
 
-_tables: dict[int, Table] = {}
+_tables: dict[str, Table] = {}
 
 
 def _ppm(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -148,7 +151,6 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0, rows: int = SAMPLE_ROW
         return Trees([], [], [])
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, rows / many[k]) * _STEPS) + 1)])
     taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(_STEPS)) < share[F.col("lang")])
-    # short texts of one language still decide between languages, so runs seen once matter when there are few
     found = taken.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(_runs, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
     parts = [found[found["lang"] == k].sort_values("code") for k in langs]
     return Trees(langs, [p["code"].to_numpy(np.int64) for p in parts], [p["n"].to_numpy(np.int64) for p in parts])
