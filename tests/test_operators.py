@@ -98,6 +98,13 @@ def test_scaled_errors(spark):
     assert score(spark, [1, 5, 3, 9] * 10, [1, 5, 3, 9], 4) == (0.0, None)
 
 
+def test_seasons_by_series_agree_with_one_for_all(spark):
+    split = W.split_fixed(long(spark, [1, 4, 2, 8, 5, 7, 1, 3, 9, 9]).union(long(spark, [2, 1, 5], "b")), -1, 1)
+    for m in (1, 2, 3, 9, 20):
+        one, each = (sorted((r.sid, r.err if r.err is None else round(r.err, 9)) for r in C.seasonal_error(split, x).collect()) for x in (m, F.lit(m)))
+        assert one == each
+
+
 def test_naive_repeats_the_season(spark):
     split = W.split_fixed(long(spark, [1, 5, 3, 9] * 10 + [0] * 8), -8, 8)
     assert [r.yhat for r in P.seasonal_naive(split, 8, 4).orderBy("step").collect()] == [1, 5, 3, 9] * 2

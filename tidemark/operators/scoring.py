@@ -15,9 +15,16 @@ def seasonal_error(split: DataFrame, m: Column | int, keys: tuple[str, ...] = ("
     """
     whole = Window.partitionBy(*keys)
     p = split.where("part = 'past'").select(*keys, F.col("step").alias("pos"), "v", (m if isinstance(m, Column) else F.lit(m)).cast("int").alias("m"))
-    p = p.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("lag", F.when(F.col("n") >= F.col("m"), F.col("m")).otherwise(1))
-    earlier = p.select(*keys, (F.col("pos") + F.col("lag")).alias("pos"), F.col("v").alias("u"))
-    return p.join(earlier, [*keys, "pos"], "left").groupBy(*keys).agg(F.first("m").alias("m"), F.avg(F.abs(F.col("v") - F.col("u"))).alias("err"))
+    p = p.withColumn("n", F.count(F.lit(1)).over(whole))
+    if isinstance(m, int):
+        # one season for all: the earlier value is in the same sorted partition
+        by_pos = whole.orderBy("pos")
+        p = p.withColumn("u", F.when(F.col("n") >= m, F.lag("v", m).over(by_pos)).otherwise(F.lag("v", 1).over(by_pos)))
+    else:
+        p = p.withColumn("lag", F.when(F.col("n") >= F.col("m"), F.col("m")).otherwise(1))
+        earlier = p.select(*keys, (F.col("pos") + F.col("lag")).alias("pos"), F.col("v").alias("u"))
+        p = p.join(earlier, [*keys, "pos"], "left")
+    return p.groupBy(*keys).agg(F.first("m").alias("m"), F.avg(F.abs(F.col("v") - F.col("u"))).alias("err"))
 
 
 def mase(split: DataFrame, forecasts: DataFrame, errors: DataFrame, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
