@@ -210,6 +210,19 @@ def test_leaks_with_substitutions_are_found_and_clean_ones_left(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
 
 
+def test_without_by_either_join(spark):
+    docs, ids = docs_of(spark, AWKWARD), spark.createDataFrame([(3,), (None,), (3,), (99,)], "doc_id long")
+    for limit in (0, 100):
+        assert sorted(r.doc_id for r in common.without(docs, ids, broadcast_ids=limit).collect()) == [1, 2, 4, 5, 6, 7]
+
+
+def test_exact_stage_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.exact(spark, docs_of(spark, AWKWARD), SF).collect()
+    assert sorted((r.doc_id, (r.text or "")[:4]) for r in got) == [(1, ""), (3, "a"), (4, "word"), (5, "Ünïc"), (6, "\n\t ")]
+
+
 def test_decontamination_is_native(spark):
     plan = queries.op2_decontaminate(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

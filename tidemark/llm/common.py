@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids up to which a set to leave out is sent to every task (about 30 bytes each); beyond, both sides are shuffled.
+BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in the one column of ``ids``; a null id is an id like any other.
+
+    The set is computed and counted first: a small one spares the texts a shuffle.
+    """
+    gone = cut(ids.toDF("_gone").distinct())
+    if gone.limit(broadcast_ids + 1).count() <= broadcast_ids:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+
+
 def blobs(column: pa.Array) -> list[bytes]:
     """The values of a string or binary column as bytes; null counts as empty."""
     if pa.types.is_string(column.type):

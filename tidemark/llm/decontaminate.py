@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 #: Masks over eight tokens, six kept: any two substitutions at least three tokens apart leave a seed of one of them whole.
 MASKS = ("11101101", "11011011", "10110111")
 #: Seeds of the benchmark up to which they are sent to every task (about 40 bytes each); beyond, both sides are shuffled.
@@ -67,5 +69,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that overlap no benchmark item; arguments as for ``contaminated``."""
-    leaks = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leak_id"]), "left_anti")
+    return without(docs, contaminated(docs, benchmark, id_col, **options).select("doc_id"), id_col)
