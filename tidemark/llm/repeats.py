@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import blobs
 
 #: Bytes of an anchor; documents per group of the joins; windows that a reducer orders at a time.
-INNER, GROUP_DOCS, CHUNK = 100, 256, 1_500_000
+INNER, GROUP_DOCS, CHUNK = 100, 256, 400_000
 
 _rng = np.random.default_rng(7)
 _LETTERS = _rng.integers(0, 2**64, 256, np.uint64)
@@ -227,7 +227,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group
             body = blobs(batch.column(2))
             size, part = 0, []
             for i in range(len(body) + 1):
-                if part and (i == len(body) or size + len(body[i]) > 4 << 20):
+                if part and (i == len(body) or size + len(body[i]) > 1 << 20):
                     doc, a, b, at, h = anchors([body[j] for j in part], length, inner)
                     j = np.array(part)[doc]
                     held.append({"dk": dk[j], "th": th[j], "start": a.astype(np.int32), "n": (b - a + 1).astype(np.uint8), "lead": (at - a).astype(np.uint8), "h": h})
