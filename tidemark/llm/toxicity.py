@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import cut, texts
 from .sample import fold, labelled
 
 #: Labelled rows that log-odds are learned from, at most about, and units that a model has at most.
@@ -115,11 +115,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, row
 
     Counting runs on the executors, by documents that have a unit, so that one repetitive document can't make
     evidence, and of near copies (equal least hash of four words) one counts. A unit is sure if its log-odds exceed ``least`` and are ``sure`` deviations from none,
-    and if ``support`` of the toxic documents have it; the strongest
-    ``MODEL_UNITS`` are kept. ``prior`` is the number of pseudo-documents, spread as the sample is.
+    and if ``support`` of the toxic documents have it; the strongest ``MODEL_UNITS`` are kept. ``prior`` is the number
+    of pseudo-documents, spread as the sample is.
     """
     known = labelled(docs, labels, label, fold(F.col("doc_id"), folds) != held, rows, by_label=True)
-    known = known.withColumn("sketch", _sketch(F.col("text"))).dropDuplicates(["sketch"]).drop("sketch")
+    first = known.groupBy(_sketch(F.col("text")).alias("sketch")).agg(F.min(F.struct("doc_id", "label", "text")).alias("first"))
+    known = cut(first.select("first.label", "first.text"))
     many = {r.label: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not many.get(1) or not many.get(0):
         return Model({}, loss)
