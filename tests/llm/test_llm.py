@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import random
 import zlib
@@ -19,6 +20,7 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.decontaminate import contaminated, decontaminate
 from tidemark.llm.exact_dedup import PatriciaTrie, _smaller, exact_dedup
 from tidemark.llm.language import identify
+from tidemark.llm.shingles import alike, shingle_set, similar_copies
 from tidemark.llm.simhash import _again, fingerprint, links, majority, near_copies, near_duplicates, shingle_hashes
 
 SF = "/root/testdata/sf0.01"
@@ -186,6 +188,51 @@ def test_near_copies(spark, documents):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in near_copies(docs_of(spark, [(None, "a b"), (4, "a b"), (4, "a b")])).collect()) == [(0, 0), (4, 4), (4, 4)]
 
 
+def brute_similar(rows):
+    """Least id reachable over pairs of at least four fifths in common."""
+    sets, up = {i: shingle_set((x or "").encode(), 5) for i, x in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        m, n = sorted((len(sets[a]), len(sets[b])))
+        if m == n == 0 or m * 5 >= n * 4 and alike(sets[a], sets[b]):
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in up}
+
+
+def test_similar_copies_miss_none_and_link_no_others(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    shared, rows = [word() for _ in range(40)], [(1, None), (2, ""), (3, " "), (4, "a b"), (5, "A  b"), (6, "a c")]
+    for base in range(40):
+        text = [word() for _ in range(rng.randrange(20, 150))] + shared * (base % 2)
+        rows.append((1000 * base + 100, " ".join(text)))
+        for k in range(12):
+            x = list(text)
+            for at in rng.sample(range(len(x)), rng.randrange(0, 1 + len(x) // 20)):
+                x[at] = word()
+            rows.append((1000 * base + 101 + k, " ".join(x)))
+    want = brute_similar(rows)
+    got = {r.doc_id: r.component_id for r in similar_copies(docs_of(spark, rows)).collect()}
+    assert got == want and 100 < sum(i != j for i, j in want.items()) < len(rows) - 60
+    assert got != {r.doc_id: r.component_id for r in near_copies(docs_of(spark, rows)).collect()}
+    assert similar_copies(docs_of(spark, [])).count() == 0
+    assert len(similar_copies(docs_of(spark, AWKWARD)).collect()) == len(AWKWARD)
+
+
+def test_near_stage_removes_similar_copies(spark, documents):
+    import corpus_pipeline
+
+    got = corpus_pipeline.near(spark, common.table(spark, SF, "documents").dropDuplicates(["text"]), SF).toPandas()
+    root = brute_similar(list(documents.drop_duplicates("text")[["doc_id", "text"]].itertuples(index=False)))
+    assert len(got) == len(set(root.values())) < len(root)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}

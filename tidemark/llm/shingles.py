@@ -1,0 +1,249 @@
+"""Near copies by their shingles: every pair whose sets of word shingles have a Jaccard similarity of four fifths or more.
+
+Two sets that similar have a shingle in common among the first n - ceil(0.8 n) + 1 of each in any order of all
+shingles. Each set is listed under those of its shingles, the rare ones first, and only sets that meet there and
+whose sizes, places and sketches allow the similarity are compared, on all their shingles. Nothing is lost: the order
+decides how many pairs are compared, never which ones are linked.
+
+Pairs within a component tell nothing new. So a few rounds compare neighbours only, a number of pairs in proportion to the
+lists, and the last one compares what is still in different components.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import BROADCAST_IDS, blobs, cut
+from .components import connected_components
+from .simhash import shingle_hashes
+
+#: Listed shingles that a part should hold; common shingles of which every task knows the frequency (16 bytes each).
+PART_ENTRIES, COMMON = 1_000_000, 300_000
+#: Rounds of neighbours before the one of all pairs.
+ROUNDS = 2
+#: Bits of the sketch by which most pairs that aren't alike are known without their texts.
+SKETCH = 512
+#: The similarity, as a fraction.
+SHARE = (4, 5)
+_ENTRY = np.dtype([("h", "<u8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def prefix(n: np.ndarray | int) -> np.ndarray | int:
+    """How many leading shingles a set of ``n`` is listed under."""
+    return n - (n * SHARE[0] + SHARE[1] - 1) // SHARE[1] + 1
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """If two sets have at least the similarity."""
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same * SHARE[1] >= SHARE[0] * (len(x) + len(y) - same)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The parity of the set's members in each of ``SKETCH`` residues; sets differ in at least as many members as sketches in bits."""
+    odd = np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _possible(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """If sets that first meet at these places and have these sketches can have the similarity."""
+    both = n[i].astype(np.int64) + n[j]
+    good = np.minimum(n[i] - pos[i], n[j] - pos[j]).astype(np.int64) * (SHARE[0] + SHARE[1]) >= SHARE[0] * both
+    at = np.flatnonzero(good)
+    apart = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(1, dtype=np.int64)
+    good[at] = apart * (SHARE[0] + SHARE[1]) <= (SHARE[1] - SHARE[0]) * both[at]
+    return good
+
+
+def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a task have, sorted, and how many have them."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            sets = [shingle_set(x, words) for x in blobs(batch.column(1))]
+            if sets:
+                h, n = np.unique(np.concatenate(sets), return_counts=True)
+                often = n > 3
+                yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+
+    top = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _entries(docs: DataFrame, words: int, total: int) -> DataFrame:
+    """(h, id, n, pos): the leading shingles of each set that another row's has as well."""
+    common, often = _common(docs, words)
+    bits = min(24, max(6, (total // PART_ENTRIES).bit_length()))
+
+    def leading(s: np.ndarray) -> np.ndarray:
+        n = np.zeros(len(s), np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+            n = np.where(common[at] == s, often[at], 0)
+        return s[np.lexsort((s, n))[: prefix(len(s))]]
+
+    def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            made = []
+            for i, x in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
+                s = shingle_set(x, words)
+                if len(s):
+                    first = leading(s)
+                    part = np.empty(len(first), _ENTRY)
+                    part["h"], part["id"], part["n"], part["pos"] = first, i, len(s), np.arange(len(first))
+                    made.append(part)
+            if made:
+                rows = np.concatenate(made)
+                key = (rows["h"] >> np.uint64(64 - bits)).astype(np.int64)
+                order = np.argsort(key, kind="stable")
+                rows, key = rows[order], key[order]
+                start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array([x.tobytes() for x in np.split(rows, start[1:])], pa.binary())], names=["part", "body"])
+
+    def meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+            rows = np.frombuffer(b"".join(bodies), _ENTRY)
+            rows = rows[np.argsort(rows["h"], kind="stable")]
+            same = rows["h"][1:] == rows["h"][:-1]
+            rows = rows[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+            for k in range(0, len(rows), 100_000):
+                r = rows[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(r["h"].astype(np.int64)), pa.array(r["id"].copy()), pa.array(r["n"].copy()), pa.array(r["pos"].copy())], names=["h", "id", "n", "pos"])
+
+        now, bodies = None, []
+        for batch in stream:
+            for part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now:
+                    if bodies:
+                        yield from done(bodies)
+                    now, bodies = part, []
+                bodies.append(body)
+        if bodies:
+            yield from done(bodies)
+
+    dealt = docs.mapInArrow(deal, "part long, body binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, "h long, id long, n int, pos int")
+
+
+def _pairs(listed: DataFrame, turn: int | None) -> DataFrame:
+    """(a, b) with a < b that meet under a shingle, in different components: neighbours in an order of this turn, or all."""
+
+    def found(h, i, n, pos, root, bits):
+        if turn is None or turn == 0:
+            shuffled = n.astype(np.int64)
+        else:
+            shuffled = ((i.astype(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
+        order = np.lexsort((i, shuffled, h))
+        h, i, n, pos, root, bits = (x[order] for x in (h, i, n, pos, root, bits))
+        if turn is None:
+            # lists within one component have nothing to tell
+            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            size = np.diff(np.concatenate((start, [len(h)])))
+            mixed = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), size)
+            h, i, n, pos, root, bits = (x[mixed] for x in (h, i, n, pos, root, bits))
+        out, at, step = [np.zeros((0, 2), np.int64)], np.arange(len(h)), 1
+        held = 0
+        while len(at):
+            at = at[at + step < len(h)]
+            at = at[h[at] == h[at + step]]
+            if turn is None:  # by size, so those further on differ even more
+                at = at[n[at].astype(np.int64) * SHARE[1] >= n[at + step].astype(np.int64) * SHARE[0]]
+            x, y = at, at + step
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+            good = _possible(n, pos, bits, x, y)
+            x, y = i[x[good]], i[y[good]]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            held += len(x)
+            if held > 2_000_000:
+                out = [np.unique(np.concatenate(out), axis=0)]
+                held = 0
+            if turn is not None:
+                break
+            step += 1
+        return np.unique(np.concatenate(out), axis=0)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in stream:
+            rows = [c.to_numpy() for c in batch.columns[:-1]]
+            rows.append(np.frombuffer(b"".join(batch.columns[-1].to_pylist()), np.uint64).reshape(-1, SKETCH // 64))
+            if kept is not None:
+                rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            end = int(np.searchsorted(rows[0], rows[0][-1]))
+            if end:
+                p = found(*[x[:end] for x in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+            kept = [x[end:] for x in rows]
+        if kept is not None and len(kept[0]):
+            p = found(*kept)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+    return listed.repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs that are alike on all their shingles."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    held = docs.join(ids, "id", "left_semi")
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            last, s, out = None, None, []
+            for x, y in zip(blobs(batch.column(2)), blobs(batch.column(3)), strict=True):
+                if x != last:
+                    last, s = x, shingle_set(x, words)
+                out.append(alike(s, shingle_set(y, words)))
+            good = batch.filter(pa.array(out, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([good.column(0), good.column(1)], names=["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """One row per row of ``docs``: doc_id, component_id (smallest doc_id reachable over similar pairs).
+
+    Null, empty and wordless texts are linked with each other; so are texts of fewer words than a shingle if they
+    are the same words. Rows without an id keep to themselves; rows that repeat an id are one document.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def signed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            sets = [shingle_set(x, words) for x in blobs(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "set", "bits", "n"])
+
+    marked = cut(texts.where("id IS NOT NULL").mapInArrow(signed, "id long, set binary, bits binary, n long"))
+    classes = cut(marked.groupBy("set").agg(F.min("id").alias("node"), F.first("bits").alias("bits")))
+    same = marked.join(classes, "set").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    total = (marked.agg(F.sum("n")).first()[0] or 0) // 5
+    known = texts.where("id IS NOT NULL")
+    nodes = classes.select(F.col("node").alias("id"), "bits")
+    listed = cut(_entries(known, words, total).join(nodes, "id").select("h", "id", "n", "pos", "bits"))
+    edges, root = cut(same), None
+    for turn in [*range(ROUNDS), None]:
+        rooted = listed.withColumn("root", F.col("id")) if root is None else listed.join(root, listed["id"] == root["node"], "left").withColumn("root", F.coalesce("root", "id"))
+        rooted = rooted.select("h", "id", "n", "pos", "root", "bits")
+        pairs = cut(_pairs(rooted, turn))
+        edges = cut(edges.union(_verified(pairs, known, words)))
+        root = cut(connected_components(edges).select("node", "root"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    return rows.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
