@@ -257,6 +257,25 @@ def test_leaks_with_substitutions_are_found_and_clean_ones_left(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
 
 
+def test_short_items_with_substitutions(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = {n: [word() for _ in range(n)] for n in range(5, 21)}
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()] + [(1, "整句没有空格")], "item_id long, text string")
+    rows, want = [], {}
+    for n, item in items.items():
+        for k in (0, 1, 2):
+            for at in itertools.combinations(range(n), k):
+                held = [word() for _ in range(9)] + ["new" if i in at else w for i, w in enumerate(item)] + [word() for _ in range(9)]
+                rows.append((len(rows), " ".join(held)))
+                if k == 0 or n >= 8 and (n - k) * 5 >= n * 4:
+                    want[len(rows) - 1] = n
+    rows.append((-1, "整句没有空格"))
+    for options in ({}, {"broadcast_seeds": 0}):
+        got = {r.doc_id: r.item_id for r in contaminated(docs_of(spark, rows), bench, **options).collect()}
+        assert got == want | {-1: 1}
+
+
 def test_without_by_either_join(spark):
     docs, ids = docs_of(spark, AWKWARD), spark.createDataFrame([(3,), (None,), (3,), (99,)], "doc_id long")
     for limit in (0, 100):

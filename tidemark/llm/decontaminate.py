@@ -3,11 +3,14 @@
 A mask keeps some token positions of a window and ignores the others, so a seed survives substitutions at the
 ignored ones. Windows of documents and of benchmark items are hashed under every mask and joined; each hit
 fixes how an item lies over a document. There the tokens are compared one by one: an agreement counts 1, a
-substitution costs ``penalty``, and the best run of them is the overlap.
+substitution costs ``penalty``, and the best run of them is the overlap. An item shorter than a mask is found as a
+whole.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ from .common import without
 
 #: Masks over eight tokens, six kept: any two substitutions at least three tokens apart leave a seed of one of them whole.
 MASKS = ("11101101", "11011011", "10110111")
+#: More masks for items of at most ``SHORT`` tokens, which have few windows: with them any one or two substitutions
+#: that leave eight tenths of an item of eight tokens or more leave a seed of it whole.
+MORE_MASKS = ("11100111", "11010111", "01111110", "10111011", "00111111", "01111011", "11101011", "11110011")
+SHORT = 16
 #: Seeds of the benchmark up to which they are sent to every task (about 40 bytes each); beyond, both sides are shuffled.
 BROADCAST_SEEDS = 500_000
 
@@ -35,21 +42,42 @@ def _seeds(held: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return rows.select(*held.columns, "pos", F.explode(F.array(*kept)).alias("seed"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_overlap: int = 13, penalty: int = 3, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """(doc_id, item_id, overlap) for each document and benchmark item that overlap by ``min_overlap`` or more.
+def _whole(docs: DataFrame, items: DataFrame, lengths: list[int], bounded) -> DataFrame:
+    """(doc_id, item_id, overlap) where all tokens of an item of one of these lengths stand in a row."""
+    rows = []
+    for k in lengths:
+        n = F.greatest(F.size("h") - (k - 1), F.lit(0))
+        run = F.arrays_zip(*[F.slice("h", i + 1, n).alias(f"t{i}") for i in range(k)])
+        rows.append(docs.select("doc_id", F.explode(F.array_distinct(run)).alias("w")).select("doc_id", F.array(*[F.col(f"w.t{i}") for i in range(k)]).alias("h")))
+    found = reduce(DataFrame.union, rows).join(bounded(items), "h").select("doc_id", "item_id", F.col("item_n").cast("long").alias("overlap"))
+    return found.distinct()
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_overlap: int = 13, penalty: int = 3, share: float = 0.8, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """(doc_id, item_id, overlap) for each document and benchmark item that overlap by ``min_overlap`` or more, or almost whole.
 
     ``overlap`` is the best run of aligned tokens, agreements less ``penalty`` per substitution; an item shorter
-    than ``min_overlap`` tokens must be there with nine tenths of its length. Items of fewer tokens than a mask
-    is long can't be told from chance and match nothing. Items of equal tokens are one, under their smallest id.
+    than ``min_overlap`` tokens must be there with nine tenths of its length. An item is there almost whole if ``share``
+    of its tokens agree where it lies, whatever the penalties. Items of fewer tokens than a mask is long must be there
+    whole, in a row. Items of equal tokens are one, under their smallest id.
     Null texts are empty and overlap nothing; null ids are ids like any other; rows that repeat an id are judged
     each, and the best overlap counts. Extra columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), _tokens(F.col(item_text_col)).alias("h"))
-    items = items.groupBy("h").agg(F.min("item_id").alias("item_id")).where(F.size("h") >= len(masks[0])).select("item_id", F.size("h").alias("item_n"), "h")
-    seeds = _seeds(items, masks).select("item_id", "item_n", F.col("pos").alias("item_pos"), "seed")
+    items = items.groupBy("h").agg(F.min("item_id").alias("item_id")).where(F.size("h") > 0).select("item_id", F.size("h").alias("item_n"), "h")
+    short = items.where(F.col("item_n") < len(masks[0]))
+    lengths = sorted(r.item_n for r in short.select("item_n").distinct().collect())
+    items = items.where(F.col("item_n") >= len(masks[0]))
+    few = items.where(F.col("item_n") <= SHORT)
+    more = (*masks, *MORE_MASKS) if masks == MASKS and not few.isEmpty() else masks
+    seeds = _seeds(items, masks)
+    if more != masks:
+        seeds = _seeds(items.where(F.col("item_n") > SHORT), masks).union(_seeds(few, more))
+    seeds = seeds.select("item_id", "item_n", F.col("pos").alias("item_pos"), "seed")
     small = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
     bounded = F.broadcast if small else (lambda df: df)
-    windows = _seeds(docs.select(F.col(id_col).alias("doc_id"), _tokens(F.col(text_col)).alias("h")), masks)
+    held = docs.select(F.col(id_col).alias("doc_id"), _tokens(F.col(text_col)).alias("h"))
+    windows = _seeds(held, more)
     hits = windows.join(bounded(seeds), "seed")
     at = F.col("pos") - F.col("item_pos")
     laid = hits.select("doc_id", "item_id", at.alias("at"), F.slice("h", F.greatest(at, F.lit(0)) + 1, F.col("item_n") + F.least(at, F.lit(0))).alias("part")).distinct()
@@ -58,12 +86,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     scores = F.zip_with("part", theirs, lambda x, y: F.when(x == y, 1).otherwise(-penalty))
     best = F.aggregate(
         scores,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
-        lambda s, x: F.struct((F.greatest(s["now"], F.lit(0)) + x).alias("now"), F.greatest(s["best"], F.greatest(s["now"], F.lit(0)) + x).alias("best")),
-        lambda s: s["best"],
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("same")),
+        lambda s, x: F.struct((F.greatest(s["now"], F.lit(0)) + x).alias("now"), F.greatest(s["best"], F.greatest(s["now"], F.lit(0)) + x).alias("best"), (s["same"] + F.when(x > 0, 1).otherwise(0)).alias("same")),
     )
-    found = both.select("doc_id", "item_id", best.cast("long").alias("overlap"), "item_n")
-    found = found.where(F.col("overlap") >= F.least(F.lit(min_overlap), F.ceil(F.col("item_n") * 0.9)))
+    found = both.select("doc_id", "item_id", best.alias("found"), "item_n").select("doc_id", "item_id", F.col("found.best").cast("long").alias("overlap"), F.col("found.same").alias("same"), "item_n")
+    found = found.where((F.col("overlap") >= F.least(F.lit(min_overlap), F.ceil(F.col("item_n") * 0.9))) | (F.col("same") >= F.ceil(F.col("item_n") * F.lit(str(share)).cast("decimal(9,6)"))))
+    found = found.select("doc_id", "item_id", "overlap")
+    if lengths:
+        sent = short.limit(broadcast_seeds + 1).count() <= broadcast_seeds
+        found = found.union(_whole(held, short, lengths, F.broadcast if sent else (lambda df: df)))
     return found.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"))
 
 
