@@ -14,6 +14,9 @@ sorted again; a window that is alone drops out. Groups left at the depth limit a
 
 Copies within a map task meet there: one of them stands for all in the shuffle, so a passage that a third of all
 documents share reaches a reducer once per task.
+
+A document is known by a 128-bit digest of its id and its text. Rows equal in both have equal results; of those in one
+task, all but the first are settled on the spot, for each is a copy of the first.
 """
 
 from __future__ import annotations
@@ -28,8 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import blobs
 
-#: Bytes of an anchor; documents per group of the joins; windows that a reducer orders at a time.
-INNER, GROUP_DOCS, CHUNK = 100, 256, 400_000
+#: Bytes of an anchor; documents and bytes per group of the joins; windows that a reducer orders at a time.
+INNER, GROUP_DOCS, GROUP_BYTES, CHUNK = 100, 256, 4 << 20, 400_000
+#: Bytes of text whose anchors and windows meet in one reducer, which holds up to five times as many at once; anchors
+#: that a map task gathers before it sends them on.
+ROUTE_BYTES, TASK_ANCHORS = 32 << 20, 1_000_000
 
 _rng = np.random.default_rng(7)
 _LETTERS = _rng.integers(0, 2**64, 256, np.uint64)
@@ -99,9 +105,9 @@ def anchors(texts: list[bytes], length: int, inner: int) -> tuple[np.ndarray, ..
     return np.array(able)[d], starts - first[d], ends - first[d], at - first[d], h[at]
 
 
-_CAND = (("dk", "<i8"), ("th", "<u4"), ("start", "<i4"), ("n", "<u1"), ("lead", "<u1"), ("h", "<u8"))
+_CAND = (("k0", "<u8"), ("k1", "<u8"), ("start", "<i4"), ("n", "<u1"), ("lead", "<u1"), ("h", "<u8"))
 _REGION = (*_CAND, ("again", "<u1"))
-_SPAN = (("dk", "<i8"), ("th", "<u4"), ("start", "<i4"), ("end", "<i4"))
+_SPAN = (("k0", "<u8"), ("k1", "<u8"), ("start", "<i4"), ("end", "<i4"))
 
 
 def _write(columns: dict[str, np.ndarray], kind: tuple, tail: bytes = b"") -> bytes:
@@ -122,6 +128,12 @@ def _joined(bodies: list[bytes], kind: tuple) -> dict[str, np.ndarray]:
     return {k: np.concatenate([p[k] for p in parts] or [np.zeros(0, t)]) for k, t in kind}
 
 
+def _packed(columns: dict[str, np.ndarray]) -> list[bytes]:
+    """The key of each row as bytes."""
+    both = np.stack([columns["k0"], columns["k1"]], 1).astype("<u8")
+    return [x.tobytes() for x in both]
+
+
 def _take(columns: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
     return {k: v[at] for k, v in columns.items()}
 
@@ -136,7 +148,13 @@ def _dealt(columns: dict[str, np.ndarray], kind: tuple, to: np.ndarray) -> Itera
 
 def _groups(columns: dict[str, np.ndarray], groups: int) -> np.ndarray:
     """The join group of each row's document."""
-    return (_mixed(columns["dk"].view(np.uint64) ^ (columns["th"].astype(np.uint64) << np.uint64(32))) % np.uint64(groups)).astype(np.int64)
+    return (columns["k0"] % np.uint64(groups)).astype(np.int64)
+
+
+def keys(ids: list[int | None], texts: list[bytes]) -> np.ndarray:
+    """The two halves of each document's key, a row each."""
+    made = (hashlib.blake2b(t, digest_size=16, key=b"" if i is None else str(i).encode()).digest() for i, t in zip(ids, texts, strict=True))
+    return np.frombuffer(b"".join(made), "<u8").reshape(-1, 2)
 
 
 def _repeated(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +222,7 @@ def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for k, c in zip(names, zip(*rows, strict=True), strict=True)], names=list(names))
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group_docs: int = GROUP_DOCS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group_docs: int = GROUP_DOCS, route_bytes: int = ROUTE_BYTES, task_anchors: int = TASK_ANCHORS, chunk: int = CHUNK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept, spans.
 
     ``kept`` is what is left of the bytes, ``spans`` the removed runs as (start, end).
@@ -212,38 +230,45 @@ def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group
     if not 8 <= inner <= length - 7 or length - inner > 254:
         raise ValueError("inner must leave 7 to 254 bytes of the window")
     spark = docs.sparkSession
-    routes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(1, docs.count() // group_docs)
-
-    def group_of(batch: pa.RecordBatch, at: int) -> pa.Array:
-        c = {"dk": batch.column(at).to_numpy().astype(np.int64), "th": batch.column(at + 1).to_numpy().astype(np.uint32)}
-        return pa.array(_groups(c, groups))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    routes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), seen["size"] // route_bytes)
+    groups = max(1, seen["n"] // group_docs, seen["size"] // GROUP_BYTES)
 
     def mark(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Anchors of a task's documents; those repeated within the task are settled, one of each asks the others."""
-        held = []
+        """Anchors of a task's documents; those repeated among them are settled, one of each asks the others."""
+        held, many = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            c = {k: np.concatenate([x[k] for x in held]) for k, _ in _CAND}
+            again, first = _repeated(c["h"])
+            known = _take(c, np.flatnonzero(again))
+            out = [(g % routes, 1, g, x) for g, x in _dealt(known, _CAND, _groups(known, groups))]
+            ask = _take(c, np.flatnonzero(first)) | {"again": again[first].astype(np.uint8)}
+            out += [(r, 0, 0, x) for r, x in _dealt(ask, _REGION, (ask["h"] % np.uint64(routes)).astype(np.int64))]
+            for i in range(0, len(out), 256):
+                yield _batch(out[i : i + 256], ("route", "kind", "g", "body"))
+
         for batch in stream:
-            dk, th = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
-            body = blobs(batch.column(2))
+            body = blobs(batch.column(1))
+            key = keys(batch.column(0).to_pylist(), body)
             size, part = 0, []
             for i in range(len(body) + 1):
                 if part and (i == len(body) or size + len(body[i]) > 1 << 20):
                     doc, a, b, at, h = anchors([body[j] for j in part], length, inner)
                     j = np.array(part)[doc]
-                    held.append({"dk": dk[j], "th": th[j], "start": a.astype(np.int32), "n": (b - a + 1).astype(np.uint8), "lead": (at - a).astype(np.uint8), "h": h})
+                    held.append({"k0": key[j, 0], "k1": key[j, 1], "start": a.astype(np.int32), "n": (b - a + 1).astype(np.uint8), "lead": (at - a).astype(np.uint8), "h": h})
+                    many += len(h)
                     size, part = 0, []
+                    if many > task_anchors:
+                        yield from sent()
+                        held, many = [], 0
                 if i < len(body):
                     part.append(i)
                     size += len(body[i])
-        c = {k: np.concatenate([x[k] for x in held] or [np.zeros(0, t)]) for k, t in _CAND}
-        if not len(c["h"]):
-            return
-        again, first = _repeated(c["h"])
-        rows = [(g % routes, 1, g, x) for g, x in _dealt(_take(c, np.flatnonzero(again)), _CAND, _groups(_take(c, np.flatnonzero(again)), groups))]
-        ask = _take(c, np.flatnonzero(first)) | {"again": again[first].astype(np.uint8)}
-        rows += [(r, 0, 0, x) for r, x in _dealt(ask, _REGION, (ask["h"] % np.uint64(routes)).astype(np.int64))]
-        for i in range(0, len(rows), 256):
-            yield _batch(rows[i : i + 256], ("route", "kind", "g", "body"))
+        if many:
+            yield from sent()
 
     def settle(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors that more than one task has; what was settled before passes through."""
@@ -270,10 +295,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group
         rows = []
         if left.num_rows and right.num_rows:
             c = _joined(right.column("body").to_pylist(), _CAND)
-            where = {(k, t): i for i, (k, t) in enumerate(zip(left.column("dk").to_pylist(), left.column("th").to_pylist(), strict=True))}
+            where = {k: i for i, k in enumerate(left.column("key").to_pylist())}
             bodies = blobs(left.column("text").combine_chunks())
-            keys = zip(c["dk"].tolist(), c["th"].tolist(), c["start"].tolist(), c["n"].tolist(), strict=True)
-            parts = [bodies[where[k, t]][s : s + n + length - 1] for k, t, s, n in keys]
+            parts = [bodies[where[k]][s : s + n + length - 1] for k, s, n in zip(_packed(c), c["start"].tolist(), c["n"].tolist(), strict=True)]
             first: dict[tuple, int] = {}
             lone = np.zeros(len(parts), np.int64)
             for i, key in enumerate(zip(parts, c["lead"].tolist(), strict=True)):
@@ -281,8 +305,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group
             count = np.bincount(lone, minlength=len(parts))
             again = count[lone] > 1
             done = _take(c, np.flatnonzero(again))
-            if len(done["dk"]):
-                spans = {"dk": done["dk"], "th": done["th"], "start": done["start"], "end": done["start"] + done["n"] + (length - 1)}
+            if len(done["h"]):
+                spans = {"k0": done["k0"], "k1": done["k1"], "start": done["start"], "end": done["start"] + done["n"] + (length - 1)}
                 rows += [(g % routes, 1, g, x) for g, x in _dealt(spans, _SPAN, _groups(spans, groups))]
             ask = np.flatnonzero(lone == np.arange(len(parts)))
             to = (c["h"][ask] % np.uint64(routes)).astype(np.int64)
@@ -319,40 +343,48 @@ def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group
         anchor = np.cumsum(new) - 1
         windows = np.cumsum(c["n"][by].astype(np.int64))
         ends = np.concatenate((np.flatnonzero(new)[1:], [len(by)]))
+
+        def found(rows_at: np.ndarray, digit: np.ndarray, low: int, high: int) -> Iterator[pa.RecordBatch]:
+            """Spans of the repeated windows in which the anchor stands ``low`` to ``high`` bytes after the start."""
+            lead, n = c["lead"][rows_at].astype(np.int64), c["n"][rows_at].astype(np.int64)
+            skip = np.maximum(0, lead - high)
+            address, row = _spread(base[rows_at] + skip, np.maximum(0, np.minimum(n, lead - low + 1) - skip))
+            offset = address - base[rows_at][row]
+            again = c["again"][rows_at][row]
+            hit = np.flatnonzero(radix_groups(buffer, address, digit[row] * 512 + lead[row] - offset, 1 + again.astype(np.int64), length) & (again == 0))
+            if not len(hit):
+                return
+            start = c["start"][rows_at][row[hit]] + offset[hit]
+            lows = np.flatnonzero(np.concatenate(([True], (row[hit][1:] != row[hit][:-1]) | (start[1:] != start[:-1] + 1))))
+            highs = np.concatenate((lows[1:], [len(hit)])) - 1
+            r = rows_at[row[hit][lows]]
+            spans = {"k0": c["k0"][r], "k1": c["k1"][r], "start": start[lows].astype(np.int32), "end": (start[highs] + length).astype(np.int32)}
+            out = list(_dealt(spans, _SPAN, _groups(spans, groups)))
+            for i in range(0, len(out), 256):
+                yield _batch(out[i : i + 256], ("g", "body"))
+
         at = 0
         while at < len(by):
-            limit = (windows[at - 1] if at else 0) + CHUNK
-            fit = ends[(ends > at) & (windows[ends - 1] <= limit)]
-            end = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, at, "right")])
-            rows_at = by[at:end]
-            address, row = _spread(base[rows_at], c["n"][rows_at].astype(np.int64))
-            place = c["lead"][rows_at][row].astype(np.int64) - (address - base[rows_at][row])
-            found = radix_groups(buffer, address, anchor[at:end][row] * 512 + place, 1 + c["again"][rows_at][row].astype(np.int64), length)
-            found &= c["again"][rows_at][row] == 0
-            hit = np.flatnonzero(found)
-            if len(hit):
-                start = c["start"][rows_at][row[hit]] + (address - base[rows_at][row])[hit]
-                edge = np.concatenate(([True], (row[hit][1:] != row[hit][:-1]) | (start[1:] != start[:-1] + 1)))
-                lows = np.flatnonzero(edge)
-                highs = np.concatenate((lows[1:], [len(hit)])) - 1
-                r = rows_at[row[hit][lows]]
-                spans = {"dk": c["dk"][r], "th": c["th"][r], "start": start[lows].astype(np.int32), "end": (start[highs] + length).astype(np.int32)}
-                rows = list(_dealt(spans, _SPAN, _groups(spans, groups)))
-                for i in range(0, len(rows), 256):
-                    yield _batch(rows[i : i + 256], ("g", "body"))
+            limit = (windows[at - 1] if at else 0) + chunk
+            # whole anchors up to the limit; one beyond it by itself, some places at a time, since windows differ in them
+            end = int(ends[max(np.searchsorted(windows[ends - 1], limit, "right") - 1, np.searchsorted(ends, at, "right"))])
+            wide = windows[end - 1] - (windows[at - 1] if at else 0) > chunk
+            step = max(1, chunk // (end - at)) if wide else 256
+            for low in range(0, length - inner + 1, step):
+                yield from found(by[at:end], anchor[at:end], low, low + step - 1)
             at = end
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         """Merge the spans of each document and leave out what they cover."""
-        by: dict[tuple, list[tuple[int, int]]] = {}
+        by: dict[bytes, list[tuple[int, int]]] = {}
         if right.num_rows:
             c = _joined(right.column("body").to_pylist(), _SPAN)
-            for k, t, s, e in zip(*(c[x].tolist() for x, _ in _SPAN), strict=True):
-                by.setdefault((k, t), []).append((s, e))
+            for k, s, e in zip(_packed(c), c["start"].tolist(), c["end"].tolist(), strict=True):
+                by.setdefault(k, []).append((s, e))
         ids, sizes, removed, many, kept, spans = [], [], [], [], [], []
-        for doc_id, dk, th, body in zip(left.column("doc_id").to_pylist(), left.column("dk").to_pylist(), left.column("th").to_pylist(), blobs(left.column("text").combine_chunks()) if left.num_rows else [], strict=True):
+        for doc_id, key, copy, body in zip(left.column("doc_id").to_pylist(), left.column("key").to_pylist(), left.column("copy").to_pylist(), blobs(left.column("text").combine_chunks()) if left.num_rows else [], strict=True):
             merged: list[list[int]] = []
-            for s, e in sorted(by.get((dk, th), [])):
+            for s, e in ([(0, len(body))] if len(body) >= length else []) if copy else sorted(by.get(key, [])):
                 if merged and s <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], e)
                 else:
@@ -369,17 +401,24 @@ def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group
             "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         })
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("dk"), F.crc32(text).alias("th"), text.alias("text"))
-
     def add_group(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Group and key of each row; a copy of an earlier row of the task, id and all, goes to any group."""
+        times: dict[bytes, int] = {}
         for batch in stream:
-            yield pa.RecordBatch.from_arrays([group_of(batch, 1), *batch.columns], names=["g", "doc_id", "dk", "th", "text"])
-
-    grouped = keyed.mapInArrow(add_group, "g long, doc_id long, dk long, th long, text string")
+            key = keys(batch.column(0).to_pylist(), blobs(batch.column(1)))
+            packed = [x.tobytes() for x in key]
+            nth = []
+            for k in packed:
+                nth.append(times.get(k, 0))
+                times[k] = nth[-1] + 1
+            nth = np.array(nth, np.uint64)
+            g = ((key[:, 0] + _mixed(nth)) % np.uint64(groups)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(g), batch.column(0), pa.array(packed, pa.binary()), pa.array(nth > 0), batch.column(1)], names=["g", "doc_id", "key", "copy", "text"])
+
+    grouped = rows.mapInArrow(add_group, "g long, doc_id long, key binary, copy boolean, text string")
     # the same exchange of texts serves both joins
     sides = grouped.groupBy("g")
-    marked = keyed.select("dk", "th", "text").mapInArrow(mark, "route int, kind int, g long, body binary")
+    marked = rows.mapInArrow(mark, "route int, kind int, g long, body binary")
     known = marked.repartitionById(routes, "route").mapInArrow(settle, "g long, body binary")
     cuts = sides.cogroup(known.groupBy("g")).applyInArrow(cut, "route int, kind int, g long, body binary")
     spans = cuts.repartitionById(routes, "route").mapInArrow(order, "g long, body binary")
@@ -391,32 +430,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     Every byte that a string of ``length`` bytes covers which starts anywhere else too, in the same document or in
     another, is removed; judged on the input. Null text counts as empty; texts shorter than ``length`` keep all.
-    Rows that repeat an id are documents of their own, and if they repeat the text too they are copies of each other.
-    Other columns are ignored. No rows give no rows.
+    Rows that repeat an id, or have none, are documents of their own, and if they repeat the text too they are copies of
+    each other. Other columns are ignored. No rows give no rows. A document must fit in a task.
     """
     return repeated_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), length, **options)
 
 
 def digest(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: list[bytes], length: int = 200) -> list[tuple[int, int, str]]:
-    """(removed, spans, hex digest of the rest) of each text, by a table of all windows; for small inputs."""
-    seen: dict[bytes, int] = {}
-    for t in texts:
-        for i in range(len(t) - length + 1):
-            w = t[i : i + length]
-            seen[w] = seen.get(w, 0) + 1
-    out = []
-    for t in texts:
-        hit = np.zeros(len(t) + 1, np.int64)
-        for i in range(len(t) - length + 1):
-            if seen[t[i : i + length]] > 1:
-                hit[i] += 1
-                hit[i + length] -= 1
-        gone = np.cumsum(hit)[:-1] > 0
-        b = np.frombuffer(t, np.uint8)
-        edges = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        out.append((int(gone.sum()), edges, hashlib.sha256(b[~gone].tobytes()).hexdigest()))
-    return out
