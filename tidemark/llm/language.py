@@ -1,9 +1,10 @@
 """Language identification by prediction by partial matching.
 
-Each language has a tree of byte contexts up to order three with frozen counts. A byte costs its code length in
-the longest context that the tree has: -log2 n / (N + D) if it was seen there, else that of an escape, D / (N + D),
-and what the next shorter context charges. The trees are unrolled once into a table with a row for each context
-and a column for each byte, so a text is coded by one table lookup per byte for all languages together.
+Each language has a tree of byte contexts up to order three with frozen counts, over all 256 byte values. A byte costs
+its code length in the longest context that the tree has: -log2 n / (N + D) if it was seen there, else that of an
+escape, D / (N + D), and what the next shorter context charges; below order zero every byte has eight bits. A level of
+a tree is a sorted array of byte runs with their counts, so the distinct runs of a block of texts are priced together
+by binary search, and no context is left out.
 """
 
 from __future__ import annotations
@@ -21,23 +22,24 @@ from pyspark.sql import functions as F
 from .common import blobs
 from .sample import _STEPS, fold
 
-#: Documents per language that the trees are counted on, about; contexts of order three kept at most.
-SAMPLE_ROWS, CONTEXTS = 500, 12_000
+#: Documents per language that the trees are counted on, about.
+SAMPLE_ROWS = 500
+#: Bytes of text that are priced at a time.
+BLOCK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 _GAP = b"\n\n\n"
-_SYMBOLS = 128
 
 
 @dataclass
 class Trees:
-    """Counts of four-byte runs per language, as sorted codes; ``table`` unrolls them."""
+    """Counts of four-byte runs per language, as sorted codes; ``table`` prepares them for coding."""
 
     langs: list[str]
     codes: list[np.ndarray]
     counts: list[np.ndarray]
 
     def table(self) -> Table:
-        """The unrolled table, built once in a process for the same counts."""
+        """The levels of all trees, built once in a process for the same counts."""
         parts = [repr(self.langs).encode(), *(x.tobytes() for x in (*self.codes, *self.counts))]
         key = hashlib.sha256(b"|".join(parts)).hexdigest()
         if key not in _tables:
@@ -49,61 +51,64 @@ class Trees:
 _tables: dict[str, Table] = {}
 
 
-def _ppm(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities by row from counts, escaping to ``shorter``; a context never seen charges nothing."""
-    total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-    base = np.maximum(total + kinds, 1)
-    return np.where(total == 0, shorter, np.where(n > 0, n / base, kinds / base * shorter))
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sum of ``n`` for each."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, n, len(found))
+
+
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key among the sorted ones, and whether it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+class _Level:
+    """One order of one tree: what a run seen there costs, and what an escape from each context costs."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, order: int) -> None:
+        self.keep = (1 << 8 * (order + 1)) - 1
+        self.code, n = _summed(code & self.keep, n)
+        self.context, total = _summed(self.code >> 8, n)
+        at = np.searchsorted(self.context, self.code >> 8)
+        kinds = np.bincount(at, minlength=len(self.context))
+        base = total + kinds
+        self.seen, self.escape = np.log2(base[at]) - np.log2(n), np.log2(base) - np.log2(kinds)
 
 
 class Table:
     def __init__(self, trees: Trees) -> None:
-        size = _SYMBOLS
-        all_counts = np.zeros(256)
-        for c, n in zip(trees.codes, trees.counts, strict=True):
-            np.add.at(all_counts, c & 255, n)
-        order = [int(b) for b in np.argsort(-all_counts, kind="stable") if all_counts[b] > 0][: size - 1]
-        self.symbol = np.full(256, size - 1, np.int64)
-        self.symbol[order] = np.arange(len(order))
-        held = []
-        weight = np.zeros(size**3)
-        for c, n in zip(trees.codes, trees.counts, strict=True):
-            s = [self.symbol[(c >> k) & 255] for k in (24, 16, 8, 0)]
-            held.append((*s, n.astype(float)))
-            np.add.at(weight, (s[0] * size + s[1]) * size + s[2], n)
-        kept = np.argsort(-weight, kind="stable")[: int(min(CONTEXTS, (weight > 0).sum()))]
-        pair = np.unique(np.concatenate([(h[1] * size + h[2]) for h in held] or [np.zeros(0, np.int64)]).astype(np.int64))
-        two = np.tile(np.arange(size), size)
-        two[pair] = size + np.arange(len(pair))
-        self.state = np.tile(two, size).astype(np.int32)
-        self.state[kept] = size + len(pair) + np.arange(len(kept))
-        rows = size + len(pair) + len(kept)
-        self.cost = np.zeros((rows * size, max(1, len(held))), np.float32)
-        for k, (a, b, c, d, n) in enumerate(held):
-            def counts(row: np.ndarray, m: int, use: np.ndarray | slice = slice(None), d=d, n=n) -> np.ndarray:
-                return np.bincount(row[use] * size + d[use], n[use], m * size).reshape(m, size)
-
-            p0 = _ppm(counts(np.zeros_like(d), 1), np.full((1, size), 1 / 256))
-            p1 = _ppm(counts(c, size), np.broadcast_to(p0, (size, size)))
-            at2 = np.searchsorted(pair, b * size + c)
-            p2 = _ppm(counts(at2, len(pair)), p1[pair % size])
-            where = self.state[(a * size + b) * size + c] - size - len(pair)
-            p3 = _ppm(counts(where, len(kept), where >= 0), np.concatenate([p1, p2])[two[kept % size**2]])
-            self.cost[:, k] = -np.log2(np.concatenate([p1, p2, p3])).ravel()
+        self.levels = [[_Level(c.astype(np.int64), n.astype(float), order) for order in (3, 2, 1, 0)] for c, n in zip(trees.codes, trees.counts, strict=True)]
+
+    def costs(self, code: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each four-byte run after its first three, a column per language."""
+        out = np.zeros((len(code), max(1, len(self.levels))))
+        for k, levels in enumerate(self.levels):
+            left, now = np.arange(len(code)), code
+            for level in levels:
+                at, there = _find(level.code, now & level.keep)
+                out[left[there], k] += level.seen[at[there]]
+                left, now = left[~there], now[~there]
+                at, known = _find(level.context, (now & level.keep) >> 8)
+                out[left[known], k] += level.escape[at[known]]
+            out[left, k] += 8
+        return out
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths in bits, a row per text and a column per language."""
-        out = np.zeros((len(texts), self.cost.shape[1]))
+        out = np.zeros((len(texts), max(1, len(self.levels))))
         group: list[int] = []
         size = 0
         for i, t in enumerate(texts):
-            if len(t) > 1 << 20:
-                for k in range(0, len(t), 1 << 20):
-                    out[i] += self._code([t[k : k + (1 << 20)]], t[max(0, k - 3) : k])[0]
+            if len(t) > BLOCK:
+                for k in range(0, len(t), BLOCK):
+                    out[i] += self._code([t[k : k + BLOCK]], t[max(0, k - 3) : k])[0]
                 continue
             group.append(i)
             size += len(t)
-            if size > 1 << 20:
+            if size > BLOCK:
                 out[group] = self._code([texts[j] for j in group])
                 group, size = [], 0
         if group:
@@ -111,18 +116,18 @@ class Table:
         return out
 
     def _code(self, texts: list[bytes], before: bytes = b"") -> np.ndarray:
-        out = np.zeros((len(texts), self.cost.shape[1]))
+        out = np.zeros((len(texts), max(1, len(self.levels))))
         full = [i for i, t in enumerate(texts) if t]
         if not full:
             return out
-        lead = before.rjust(3, b"\n")
-        s = self.symbol[np.frombuffer(lead + _GAP.join(texts[i] for i in full), np.uint8)]
-        state = self.state[(s[:-3] * _SYMBOLS + s[1:-2]) * _SYMBOLS + s[2:-1]]
-        bits = self.cost[state.astype(np.int64) * _SYMBOLS + s[3:]]
+        b = np.frombuffer(before.rjust(3, b"\n") + _GAP.join(texts[i] for i in full), np.uint8).astype(np.uint32)
+        code, at = np.unique((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:], return_inverse=True)
+        cost = self.costs(code.astype(np.int64))
         n = np.array([len(texts[i]) for i in full])
         start = np.concatenate(([0], np.cumsum(n + 3)[:-1]))
         cuts = np.stack([start, start + n], 1).ravel()[: 2 * len(full) - 1]
-        out[full] = np.add.reduceat(bits, cuts, axis=0, dtype=np.float64)[::2]
+        for k in range(out.shape[1]):
+            out[full, k] = np.add.reduceat(cost[at, k], cuts)[::2]
         return out
 
 
@@ -139,21 +144,21 @@ def _runs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, folds: int = 5, held: int = 0, rows: int = SAMPLE_ROWS) -> Trees:
-    """Count about ``rows`` documents of each language outside the fold ``held``; runs seen once are left out.
+    """Count about ``rows`` documents of each language outside the fold ``held``; every language that is a label is learned.
 
     ``docs`` has doc_id, text and lang. What reaches the driver is bounded by the number of languages times the
     distinct byte runs of ``rows`` documents.
     """
-    known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held))
     many = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(many)
     if not langs:
         return Trees([], [], [])
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, rows / many[k]) * _STEPS) + 1)])
     taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(_STEPS)) < share[F.col("lang")])
-    found = taken.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(_runs, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    found = taken.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(_runs, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     parts = [found[found["lang"] == k].sort_values("code") for k in langs]
-    return Trees(langs, [p["code"].to_numpy(np.int64) for p in parts], [p["n"].to_numpy(np.int64) for p in parts])
+    return Trees(langs, [p["code"].to_numpy(np.uint32) for p in parts], [p["n"].to_numpy(np.uint32) for p in parts])
 
 
 def identify(docs: DataFrame, folds: int = 5, held: int = 0, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
