@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (a, b) with a > b.
+def meet(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined on ``key`` with an aggregate that has one row per key.
 
-    The smallest neighbour of each node comes from a partial aggregate, and the join that brings it back has
-    plain exchanges on both sides, so a hub's rows are merged or split before they meet in a task.
+    Both sides are dealt out anew, by the key's hash and the key: an aggregate's own exchange is no plain one, and
+    only plain exchanges on both sides are split by adaptive execution where a key has very many rows.
     """
+    dealt = lambda df: df.withColumn("_dealt", F.xxhash64(key))
+    return dealt(rows).join(dealt(least), ["_dealt", key]).drop("_dealt")
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One star step over edges (a, b) with a > b."""
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = meet(both, least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
+        out = meet(edges, least, "a").select(F.explode(ends).alias("e")).select("e.a", "e.b")
     return out.where("a > b").distinct()
 
 

@@ -6,6 +6,9 @@ variant: a fingerprint goes once to each leading part that its variants have, an
 leading part are written out there, sorted, and compared. Fingerprints that share a variant are within twice
 half the radius of each other, so each collision is checked by its distance and joined to the least
 fingerprint of the variant; no pairs within a group are listed.
+
+``near_duplicates`` links whatever is within the radius. ``similar_copies`` asks for a similarity of the shingle sets
+instead: several tables of shorter fingerprints give candidates by the same balls, and each is verified on all shingles.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, cut
-from .components import connected_components
+from .common import BROADCAST_IDS, blobs, cut
+from .components import connected_components, meet
 
 #: Variants that a shuffle partition should hold, and that a task holds at a time.
 PART_VARIANTS, LEAF_VARIANTS = 8_000_000, 1_500_000
@@ -115,16 +118,19 @@ class _Union:
             self.up[max(x, y)] = min(x, y)
 
 
-def collide(fps: np.ndarray, prefix: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, least linked one) among those whose variants start with the ``bits`` bits of ``prefix``."""
+def collide(fps: np.ndarray, prefix: int, bits: int, radius: int, width: int = 64, forest: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the fingerprints whose variants start with the ``bits`` bits of ``prefix``.
+
+    With ``forest`` each is linked to the least one that it reaches; else to the least one of each variant it shares.
+    """
     fps = np.unique(fps)
     half = radius // 2
-    low = 64 - bits
+    low = width - bits
     apart = np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(prefix)).astype(np.int64) if bits else np.zeros(len(fps), np.int64)
     near = apart <= half
     fps, left = fps[near], half - apart[near]
     value = fps & np.uint64((1 << low) - 1)
-    union = _Union(len(fps))
+    union, direct = _Union(len(fps)), [np.zeros(0, np.int64)]
     for v, o, r, b in _leaves(value, np.arange(len(fps)), left, low):
         variants, owners = [], []
         for k in range(half + 1):
@@ -144,24 +150,31 @@ def collide(fps: np.ndarray, prefix: int, bits: int, radius: int) -> tuple[np.nd
         pairs = np.unique(head * len(fps) + who[again])
         x, y = pairs // len(fps), pairs % len(fps)
         good = np.bitwise_count(fps[x] ^ fps[y]) <= radius
+        if not forest:
+            direct.append(pairs[good])
+            continue
         for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True):
             union.join(i, j)
+    if not forest:
+        pairs = np.unique(np.concatenate(direct))
+        return fps[pairs % max(1, len(fps))], fps[pairs // max(1, len(fps))]
     root = np.array([union.find(i) for i in range(len(fps))], np.int64)
     moved = np.flatnonzero(root != np.arange(len(fps)))
     return fps[moved], fps[root[moved]]
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, width: int = 64, forest: bool = True) -> DataFrame:
     """(t, a, b): enough links between the distinct fingerprints ``fp`` of each table ``t`` to give the components at ``radius`` bits.
 
-    Without a column ``t`` all are of table 0. ``radius`` is even: half of it is the ball that each fingerprint
+    Without ``forest`` the links are each one's with the least fingerprint of every variant that it shares, all within
+    ``radius``. Without a column ``t`` all are of table 0. Fingerprints have ``width`` bits. ``radius`` is even: half of it is the ball that each fingerprint
     stands for. The number of leading bits follows the number of fingerprints, so that partitions stay of one size
     however many there are.
     """
     if radius % 2:
         raise ValueError("radius must be even")
     half = radius // 2
-    ball = sum(comb(64, i) for i in range(half + 1))
+    ball = sum(comb(width, i) for i in range(half + 1))
     n = fps.count()
     bits = min(24, max(4, (n * ball // PART_VARIANTS).bit_length()))
     spread = _masks(bits, half)
@@ -171,16 +184,16 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
             table, fp = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy().view(np.uint64)
             if not len(fp):
                 continue
-            prefix = ((table << np.uint64(bits))[:, None] | ((fp >> np.uint64(64 - bits))[:, None] ^ spread[None, :])).ravel()
+            prefix = ((table << np.uint64(bits))[:, None] | ((fp >> np.uint64(width - bits))[:, None] ^ spread[None, :])).ravel()
             order = np.argsort(prefix, kind="stable")
             prefix, value = prefix[order], np.repeat(fp, len(spread))[order]
             first = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
             parts = [x.tobytes() for x in np.split(value, first[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(prefix[first].astype(np.int64)), pa.array(parts, pa.binary())], names=["prefix", "body"])
 
-    def meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def matched(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(prefix: int, bodies: list[bytes]) -> pa.RecordBatch:
-            a, b = collide(np.frombuffer(b"".join(bodies), np.uint64), prefix & ((1 << bits) - 1), bits, radius)
+            a, b = collide(np.frombuffer(b"".join(bodies), np.uint64), prefix & ((1 << bits) - 1), bits, radius, width, forest)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), prefix >> bits, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["t", "a", "b"])
 
         now, bodies = None, []
@@ -196,7 +209,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     rows = fps.select((F.col("t") if "t" in fps.columns else F.lit(0)).cast("int").alias("t"), "fp")
     dealt = rows.mapInArrow(deal, "prefix long, body binary").repartition("prefix").sortWithinPartitions("prefix")
-    return dealt.mapInArrow(meet, "t int, a long, b long")
+    return dealt.mapInArrow(matched, "t int, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -211,37 +224,129 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = connected_components(links(distinct, radius)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
+    classes = meet(rooted, named, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, tables: int = 8) -> DataFrame:
-    """One row per row of ``docs``: doc_id, component_id (smallest doc_id reachable).
+#: The similarity of shingle sets, as a fraction.
+SHARE = (4, 5)
+#: Width of a fingerprint of ``similar_copies`` and how many it has. At the least similarity a bit differs with a
+#: chance of 0.15, so one table has a pair within four bits with a chance of 0.25, and one of these with 0.99. Chance pairs
+#: are 1e-7 of all; for 1e9 documents and more take 48 bits and 32 tables, which have a hundredth of them.
+WIDTH, TABLES = 40, 16
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """If two sets have at least the similarity."""
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same * SHARE[1] >= SHARE[0] * (len(x) + len(y) - same)
+
+
+def table_fingerprints(shingles: np.ndarray, width: int, tables: int) -> np.ndarray:
+    """``tables`` independent fingerprints of ``width`` bits of one set of shingle hashes."""
+    words = -(-width * tables // 64)
+    votes = np.zeros((words, 64), np.int64)
+    for i in range(0, len(shingles), 4096):
+        part = shingles[i : i + 4096]
+        each = np.stack([_again(part, k) if k else part for k in range(words)]).astype("<u8")
+        votes += np.unpackbits(each.view(np.uint8).reshape(words, len(part), 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int32)
+    bits = (votes * 2 > len(shingles)).ravel()[: width * tables].reshape(tables, width)
+    padded = np.zeros((tables, 64), bool)
+    padded[:, :width] = bits
+    return np.packbits(padded, axis=1, bitorder="little").view("<u8").ravel()
 
-    One fingerprint finds few of the copies that share four fifths of their shingles, since about ten of its bits
-    differ. ``tables`` independent ones, from hashes of the same shingles, find more: documents are linked if any
-    of theirs is within ``radius`` bits. Null, empty and wordless texts are linked with each other. Rows without an
-    id keep to themselves.
-    """
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that are alike on all their shingles; ``texts`` has (node, text)."""
+    x, y = (texts.select(F.col("node").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, None
         for batch in stream:
             out = []
-            for x in blobs(batch.column(1)):
-                h = shingle_hashes(x, words)
-                out.append(np.array([majority(_again(h, k) if k else h) for k in range(tables)], np.uint64).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+            for mine, other in zip(blobs(batch.column(2)), blobs(batch.column(3)), strict=True):
+                if other != last:
+                    last, known = other, shingle_set(other, words)
+                out.append(alike(shingle_set(mine, words), known))
+            good = batch.filter(pa.array(out, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([good.column(0), good.column(1)], names=["a", "b"])
+
+    # many pairs may have one b: that join comes last, on plain exchanges, which are split where they are skewed
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
 
-    marked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fps array<long>"))
-    classes = marked.where("doc_id IS NOT NULL").groupBy("fps").agg(F.min("doc_id").alias("node"))
+def _similar(rows: DataFrame, words: int, width: int, tables: int, radius: int) -> DataFrame:
+    """(doc_id, digest, component_id, kept) of ``rows`` (doc_id, text): kept is the row with the least (doc_id, digest) of each component."""
+    keyed = rows.select("doc_id", F.sha2("text", 256).alias("digest"), "text")
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            sets = [shingle_set(x, words) for x in blobs(batch.column(2))]
+            names = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            fps = pa.array([table_fingerprints(x, width, tables).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, fps], names=["doc_id", "digest", "set", "fps"])
+
+    marked = cut(keyed.mapInArrow(run, "doc_id long, digest string, set binary, fps array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    # equal sets are one node; its number is fixed by the cut
+    classes = cut(marked.groupBy("set").agg(first, F.first("fps").alias("fps")).select("set", "first", "fps", F.monotonically_increasing_id().alias("node")))
     by_table = cut(classes.select("node", F.posexplode("fps").alias("t", "fp")))
-    # a fingerprint is known by the least class that has it
+    # a fingerprint is known by the least node that has it
     known = cut(by_table.groupBy("t", "fp").agg(F.min("node").alias("rep")))
     same = by_table.join(known, ["t", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    near = links(known, radius)
-    near = near.join(known.select("t", F.col("fp").alias("a"), F.col("rep").alias("rep_a")), ["t", "a"]).join(known.select("t", F.col("fp").alias("b"), F.col("rep").alias("rep_b")), ["t", "b"])
-    edges = same.union(near.select("rep_a", "rep_b"))
-    root = connected_components(edges).select("node", "root")
-    named = classes.join(root, "node", "left").select("fps", F.coalesce("root", "node").alias("component_id"))
-    found = marked.join(named, "fps", "left")
-    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    end = lambda k: known.select("t", F.col("fp").alias(k), F.col("rep").alias(f"rep_{k}"))
+    near = links(known, radius, width, forest=False).join(end("a"), ["t", "a"]).join(end("b"), ["t", "b"]).select("rep_a", "rep_b")
+    pairs = same.union(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    pairs = cut(pairs.groupBy("a", "b").agg(F.count("*").alias("n")))
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("first.digest").alias("digest")), "node"))
+    few = F.broadcast(wanted) if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
+    texts = keyed.select("digest", "text").join(few, "digest").groupBy("node").agg(F.first("text").alias("text"))
+    # each node's most frequent candidate first; the others only where that leaves two components
+    best = cut(pairs.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("most")).select("a", (-F.col("most.b")).alias("b")))
+    edges = cut(_verified(best, texts, words))
+    root = connected_components(edges)
+    end = lambda k: root.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    rest = pairs.join(best, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    rest = cut(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    if not rest.isEmpty():
+        root = connected_components(cut(edges.union(_verified(rest, texts, words))))
+    rooted = classes.select("set", "first", "node").join(root, "node", "left").select("set", "first", F.coalesce("root", "node").alias("root"))
+    named = meet(rooted, rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("set", "least")
+    found = marked.select("doc_id", "digest", "set").join(cut(named), "set")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
+    return found.select("doc_id", "digest", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, width: int = WIDTH, tables: int = TABLES, radius: int = 4) -> DataFrame:
+    """One row per row of ``docs``: doc_id, component_id (smallest doc_id reachable over similar pairs).
+
+    Texts are linked if their sets of word shingles have a Jaccard similarity of four fifths or more and one of
+    ``tables`` fingerprints of ``width`` bits is within ``radius`` bits; no others are. Null, empty and wordless texts are
+    linked with each other, and so are texts of fewer words than a shingle that have the same words. Rows that repeat an
+    id are judged each by its text; a null id names a component only if nothing else is in it. Extra columns are
+    ignored. No rows give no rows.
+    """
+    return _similar(_rows(docs, id_col, text_col), words, width, tables, radius).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, width: int = WIDTH, tables: int = TABLES, radius: int = 4) -> DataFrame:
+    """Of each component of ``similar_copies`` the row with the smallest doc_id, with all its columns.
+
+    A null id comes last; of rows that share the smallest id, the one whose text has the least SHA-256 stays. Rows
+    that repeat both are one document and stay together.
+    """
+    found = _similar(_rows(docs, id_col, text_col), words, width, tables, radius)
+    gone = cut(found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct())
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.sha2(text, 256) == F.col("_digest")), "left_anti")
