@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from test_llm import brute_force, docs_of
-from tidemark.llm import language, repeats
+from test_llm import SF, TOKENIZER, brute_force, check_packed, docs_of
+from tidemark.llm import chat, language, packing, queries, repeats
+from tidemark.llm import decontaminate as decontaminate_module
+from tidemark.llm.decontaminate import contaminated, decontaminate
 
 
 def letters(rng, n, of="abcdefghij"):
@@ -113,3 +118,130 @@ def test_und_is_learned_where_it_is_a_label(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(rows, docs_of(spark, []).schema)).collect()}
     assert all(got[i][0] == "und" and got[i][1] > 0.9 and got[100 + i][0] == "vo" for i in range(40))
     assert got[500] == got[501] == ("und", 0.0) and got[502][0] == "und" and got[502][1] > 0
+
+
+# decontamination
+
+
+def brute_overlap(doc, item, min_overlap=13, penalty=3):
+    """Best overlap over every way an item can lie on a document, or None if none is an overlap."""
+    best = None
+    for at in range(1 - len(item), len(doc)):
+        k = [i for i in range(len(item)) if 0 <= at + i < len(doc)]
+        now = top = same = 0
+        for i in k:
+            hit = doc[at + i] == item[i]
+            same += hit
+            now = max(now, 0) + (1 if hit else -penalty)
+            top = max(top, now)
+        whole = same == len(item) if len(item) < 8 else top >= min(min_overlap, -(-9 * len(item) // 10)) or same * 5 >= len(item) * 4
+        if whole:
+            best = max(best or 0, top)
+    return best
+
+
+def test_overlaps_against_all_lays(spark):
+    rng = random.Random(31)
+    word = lambda: letters(rng, 3, "abcd")
+    items = {n: [word() for _ in range(n)] for n in (1, 3, 7, 8, 12, 16, 17, 30, 60)}
+    docs = {}
+    for i in range(150):
+        n = rng.choice(list(items))
+        part = list(items[n])
+        a = rng.randrange(0, max(1, n // 4))
+        part = part[a : n - rng.randrange(0, max(1, n // 4))]
+        if n >= 12 and rng.random() < 0.5:
+            part[rng.randrange(len(part))] = "other"
+        docs[i] = [letters(rng, 6) for _ in range(rng.randrange(0, 12))] + part + [letters(rng, 6) for _ in range(rng.randrange(0, 12))]
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    want = {(i, n): v for i, d in docs.items() for n, t in items.items() if (v := brute_overlap(d, t)) is not None}
+    for options in ({}, {"broadcast_seeds": 0}):
+        got = {(r.doc_id, r.item_id): r.overlap for r in contaminated(docs_of(spark, [(i, ", ".join(d)) for i, d in docs.items()]), bench, **options).collect()}
+        assert got == want and len(want) > 60
+
+
+def test_a_clean_row_stays_beside_a_leaked_one_of_its_id(spark):
+    rng = random.Random(32)
+    item = " ".join(letters(rng, 6) for _ in range(30))
+    long = " ".join(letters(rng, 5) for _ in range(60_000))
+    rows = [(None, "clean text"), (None, "x " + item), (4, "clean too"), (4, item + " y"), (5, None), (6, ""), (7, long), (8, long + " " + item), (None, "x " + item)]
+    bench = spark.createDataFrame([(1, item, 3), (2, item.upper(), 3), (3, None, 3), (None, "", 3)], "item_id long, text string, doc_id int")
+    left = decontaminate(docs_of(spark, rows), bench)
+    assert left.columns == docs_of(spark, []).columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in left.collect()) == sorted((i or 0, (t or "")[:5]) for i, t in rows if item not in (t or ""))
+    assert decontaminate(docs_of(spark, rows), bench.limit(0)).count() == len(rows)
+    assert decontaminate(docs_of(spark, []), bench).count() == 0
+
+
+def test_no_tokens_cross_an_exchange_with_the_seeds(spark):
+    rng = random.Random(33)
+    docs = docs_of(spark, [(i, " ".join(letters(rng, 5) for _ in range(50))) for i in range(20)])
+    held = decontaminate_module._seeds(docs.select("doc_id", decontaminate_module._tokens(F.col("text")).alias("h")), ["doc_id"], ["11101101"])
+    plan = held.repartition("seed")._jdf.queryExecution().executedPlan().toString()
+    assert "h#" not in plan[: plan.index("Exchange")] and "array<bigint>" not in plan[: plan.index("Exchange")]
+    assert held.columns == ["doc_id", "pos", "seed"]
+
+
+# packing
+
+
+def test_fills_are_the_fullest(spark):
+    rng = random.Random(34)
+    for _ in range(200):
+        sizes = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 9))]
+        room = rng.randrange(1, 100)
+        counts = {k: sizes.count(k) for k in sizes}
+        got = packing.best_fill(sorted(counts, reverse=True), counts, room, [])
+        sums = {sum(c) for r in range(len(sizes) + 1) for c in itertools.combinations(sizes, r)}
+        assert sum(got) == max(s for s in sums if s <= room) and all(got.count(x) <= counts[x] for x in got)
+    assert sorted(sum([1000, 24, 1000, 23][i] for i in b) for b in packing.minimum_bin_slack([1000, 24, 1000, 23], 2048)) == [2047]
+    # two powers of two pad less than one sequence of 1536
+    assert sorted(sum([600, 400, 24, 512][i] for i in b) for b in packing.minimum_bin_slack([600, 400, 24, 512], 2048)) == [512, 1024]
+
+
+def test_added_tokens_and_equal_rows(spark):
+    end = "<|endoftext|>"
+    rows = [(1, f"a{end}b"), (2, end), (3, f"  {end}  {end}{end}x "), (4, "<|endoftext|"), (5, f"one two{end}\n\n three")] + [(9, "equal rows")] * 300
+    got = packing.pack(docs_of(spark, rows), TOKENIZER, window=64, bucket_docs=20).toPandas()
+    check_packed(packing.pack(docs_of(spark, rows[:5]), TOKENIZER, window=64).toPandas(), rows[:5], 64)
+    tok = __import__("tokenizers").Tokenizer.from_file(TOKENIZER)
+    assert got[got.doc_id == 2].doc_tokens.iloc[0] == 2 == len(tok.encode(end, add_special_tokens=False).ids) + 1
+    same = got[got.doc_id == 9]
+    assert len(same) == 300 and same.sequence_id.floordiv(1 << 40).nunique() > 5
+
+
+# chat
+
+
+def test_the_mask_covers_what_was_said(spark):
+    rng = random.Random(35)
+    bits = ["</s>", "<s>", "[INST]", "[/INST]", "\\", "<", "[", "/s>", "INST]", "é", "日", "\n", "a", "ok ", "🙂", ">", "]"]
+    rows = [(i, t, rng.choice(["user", "assistant", "assistant", "[/INST]", "\\", ""]), "".join(rng.choice(bits) for _ in range(rng.randrange(0, 9)))) for i in range(120) for t in range(rng.randrange(1, 5))]
+    rows += [(1000, t, "assistant" if t % 2 else "user", "long ✓ " * 3000 + ("</s>" if t == 7 else "")) for t in range(12)]
+    out = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    by = defaultdict(list)
+    for i, _, role, text in rows:
+        by[i].append((role, text))
+    figures = {r.conv_id: r for r in chat.digests(out).collect()}
+    levels = set()
+    for r in out.collect():
+        levels.add(r.level)
+        said = "".join(x for role, x in by[r.conv_id] if role == "assistant")
+        assert [(t.role, t.text) for t in r.turns] == by[r.conv_id]
+        raw = r.formatted.encode()
+        for s in r.loss:
+            assert raw[s.byte_start : s.byte_start + s.byte_length].decode() == r.formatted[s.start : s.start + s.length]
+        f = figures[r.conv_id]
+        assert (f.n_turns, f.loss_chars, f.loss_sha256) == (len(by[r.conv_id]), len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert levels == {0, 1}
+
+
+def test_a_wrong_mask_would_be_seen(spark):
+    out = chat.format_chat(spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "there")], "conv_id long, turn long, role string, text string"))
+    moved = out.withColumn("loss", F.transform("loss", lambda s: F.struct(s["start"], s["length"], (s["byte_start"] - 1).alias("byte_start"), s["byte_length"])))
+    assert chat.digests(moved).first().loss_sha256 != chat.digests(out).first().loss_sha256
+
+
+def test_chat_is_native(spark):
+    plan = queries.op9_chat(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan

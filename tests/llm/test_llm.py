@@ -20,8 +20,7 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.decontaminate import contaminated, decontaminate
 from tidemark.llm.exact_dedup import PatriciaTrie, _smaller, exact_dedup
 from tidemark.llm.language import identify
-from tidemark.llm.shingles import alike, shingle_set, similar_copies
-from tidemark.llm.simhash import _again, fingerprint, links, majority, near_copies, near_duplicates, shingle_hashes
+from tidemark.llm.simhash import alike, fingerprint, links, near_duplicates, shingle_set, similar_copies
 
 SF = "/root/testdata/sf0.01"
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -151,29 +150,7 @@ def test_near_duplicates_awkward(spark):
     assert {r.component_id for r in got if r.doc_id in (3, 7, None)} == {3}
 
 
-def brute_near_copies(rows):
-    """Least id reachable when any of eight fingerprints is within four bits."""
-    fps = {}
-    for i, x in rows:
-        h = shingle_hashes((x or "").encode(), 5)
-        fps[i] = np.array([majority(_again(h, k) if k else h) for k in range(8)], np.uint64)
-    ids = sorted(fps)
-    grid, up = np.array([fps[i] for i in ids]), {i: i for i in ids}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for n, i in enumerate(ids):
-        near = (np.bitwise_count(grid[n + 1 :] ^ grid[n]) <= 4).any(1)
-        for m in np.flatnonzero(near):
-            x, y = find(i), find(ids[n + 1 + m])
-            up[max(x, y)] = min(x, y)
-    return {i: find(i) for i in ids}
-
-
-def test_near_copies(spark, documents):
+def test_near_copies(spark):
     rng = random.Random(11)
     words = [" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200)) for _ in range(8)]
     rows = [(100 + i, w) for i, w in enumerate(words)]
@@ -182,10 +159,9 @@ def test_near_copies(spark, documents):
         x[100] = "other"
         rows.append((200 + i, " ".join(x)))
     rows += [(1, None), (2, ""), (3, " ")]
-    got = {r.doc_id: r.component_id for r in near_copies(docs_of(spark, rows)).collect()}
-    assert got == brute_near_copies(rows) and sum(got[200 + i] == 100 + i for i in range(8)) >= 7 and got[3] == 1
-    assert near_copies(docs_of(spark, [])).count() == 0
-    assert sorted((r.doc_id or 0, r.component_id or 0) for r in near_copies(docs_of(spark, [(None, "a b"), (4, "a b"), (4, "a b")])).collect()) == [(0, 0), (4, 4), (4, 4)]
+    got = {r.doc_id: r.component_id for r in similar_copies(docs_of(spark, rows)).collect()}
+    assert got == brute_similar(rows) and all(got[200 + i] == 100 + i for i in range(8)) and got[3] == 1
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in similar_copies(docs_of(spark, [(None, "a b"), (4, "a b"), (4, "a b")])).collect()) == [(0, 4), (4, 4), (4, 4)]
 
 
 def brute_similar(rows):
@@ -220,7 +196,6 @@ def test_similar_copies_miss_none_and_link_no_others(spark):
     want = brute_similar(rows)
     got = {r.doc_id: r.component_id for r in similar_copies(docs_of(spark, rows)).collect()}
     assert got == want and 100 < sum(i != j for i, j in want.items()) < len(rows) - 60
-    assert got != {r.doc_id: r.component_id for r in near_copies(docs_of(spark, rows)).collect()}
     assert similar_copies(docs_of(spark, [])).count() == 0
     assert len(similar_copies(docs_of(spark, AWKWARD)).collect()) == len(AWKWARD)
 
@@ -301,7 +276,6 @@ def check_packed(got, docs, window):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     ids = {i: [*x.ids, 1] for i, x in zip([i for i, _ in docs], t.encode_batch([x or "" for _, x in docs], add_special_tokens=False), strict=True)}
     for i, rows in got.groupby("doc_id"):
         rows = rows.sort_values("start")
@@ -527,7 +501,7 @@ def test_pipeline_against_brute_force(spark, documents):
     scores = quality.classify(docs, common.table(spark, SF, "labels")).toPandas()
     assert set(kept[1].doc_id) == set(scores[scores.predicted == 1].doc_id)
     assert set(kept[2].doc_id) == set(kept[1].drop_duplicates("text").doc_id)
-    root = brute_near_copies(zip(kept[2].doc_id, kept[2].text, strict=True))
+    root = brute_similar(list(zip(kept[2].doc_id, kept[2].text, strict=True)))
     assert set(kept[3].doc_id) == set(root.values())
     items = pd.read_parquet(f"{SF}/benchmark.parquet").text
     leaked = {i for i, t in zip(kept[3].doc_id, kept[3].text, strict=True) if any(b in t for b in items)}
