@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens score their log-odds between toxic and clean documents under an informative Dirichlet prior; a token whose
-log-odds aren't sure counts as a small loss. One linear scan finds every maximal scoring segment of a document.
+Every token scores its log-odds between toxic and clean text under an informative Dirichlet prior, drawn toward zero as
+far as chance may explain them, less a constant drift that makes clean text lose. One linear scan finds every maximal scoring segment of a document.
 Chance segments follow an extreme-value law whose decay solves E[exp(lambda s)] = 1 over clean tokens; the number
 of them that a text of its length would show by chance makes each segment's weight.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import cut, texts
 from .sample import fold, labelled
 
-#: Labelled rows that log-odds are learned from, at most about, and units that a model has at most.
-SAMPLE_ROWS, MODEL_UNITS = 40_000, 50_000
+#: Labelled rows that log-odds are learned from, at most about.
+SAMPLE_ROWS = 40_000
 #: Leading letters that stand for a word too: languages inflect, so one stem has many forms.
 STEMS = (4, 5, 6)
 _EDGES = "\"'`.,;:!?()[]{}<>|*#$%&@^~+=_-\\/«»“”„¿¡…"
@@ -42,7 +42,7 @@ def _units(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Log-odds of sure units, the loss of any other token, and the two constants of the extreme-value law."""
+    """Log-odds of units, for or against; the drift of every token; the two constants of the extreme-value law."""
 
     odds: dict[str, float]
     loss: float = -0.5
@@ -51,8 +51,9 @@ class Model:
     words: dict = field(default_factory=dict, repr=False)
 
     def token(self, word: str) -> float:
+        """The strongest evidence among a word and its stems, and the drift."""
         found = [x for x in map(self.odds.get, _units(word.strip(_EDGES))) if x is not None]
-        return max(found, default=self.loss)
+        return max(found, key=abs, default=0.0) + self.loss
 
     def scores(self, text: str) -> np.ndarray:
         if len(self.words) > 400_000:
@@ -110,53 +111,63 @@ def passages(model: Model, text: str, most_by_chance: float = 0.05) -> list[tupl
     return [x for x, e in zip(found, chance(model, len(s), found), strict=True) if e <= most_by_chance]
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows: int = SAMPLE_ROWS, label: str = "toxic", prior: float = 10.0, sure: float = 4.2, least: float = 2.0, support: float = 0.02, loss: float = -0.5) -> Model:
+def log_odds(counts: DataFrame, prior: float = 10.0, sure: float = 4.2) -> DataFrame:
+    """(u, s) from (u, y1, y0), how many toxic and clean documents have each unit: its shrunk log-odds where they aren't zero.
+
+    Each kind is a multinomial over units with a Dirichlet prior of ``prior`` pseudo-counts spread as both kinds
+    together are. The log-odds keep the part 1 - (sure / z)^2, with z the signed root of the likelihood ratio against one share
+    for both kinds, which is fair to small counts too; within ``sure`` deviations nothing is left of them.
+    """
+    total = counts.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"))
+    y1, y0, n1, n0 = (F.col(c).cast("double") for c in ("y1", "y0", "n1", "n0"))
+    share = (y1 + y0) / (n1 + n0)
+    a1, a0 = y1 + prior * share, y0 + prior * share
+    delta = F.log(a1 / (n1 + prior - a1)) - F.log(a0 / (n0 + prior - a0))
+
+    def term(y: Column, n: Column) -> Column:
+        rest = n - y
+        return F.when(y > 0, y * F.log(y / (n * share))).otherwise(0.0) + F.when(rest > 0, rest * F.log(rest / (n * (1 - share)))).otherwise(0.0)
+
+    square = 2 * (term(y1, n1) + term(y0, n0))
+    held = counts.join(F.broadcast(total)).where((n1 > 0) & (n0 > 0) & (share < 1))
+    return held.select("u", square.alias("square"), delta.alias("delta")).where(F.col("square") > sure**2).select("u", (F.col("delta") * (1 - sure**2 / F.col("square"))).alias("s"))
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows: int = SAMPLE_ROWS, label: str = "toxic", prior: float = 10.0, sure: float = 4.2, loss: float = -1.0) -> Model:
     """Learn from about ``rows`` labelled documents outside the fold ``held``.
 
     Counting runs on the executors, by documents that have a unit, so that one repetitive document can't make
-    evidence, and of near copies (equal least hash of four words) one counts. A unit is sure if its log-odds exceed ``least`` and are ``sure`` deviations from none,
-    and if ``support`` of the toxic documents have it; the strongest ``MODEL_UNITS`` are kept. ``prior`` is the number
-    of pseudo-documents, spread as the sample is.
+    evidence, and of near copies (equal least hash of four words) one counts. The driver gets the units whose log-odds
+    are more than chance, all of them; the rest score as unknown words do.
     """
-    known = labelled(docs, labels, label, fold(F.col("doc_id"), folds) != held, rows, by_label=True)
+    known = labelled(docs, labels, label, fold(F.col("doc_id"), folds) != held, rows, by_label=True).where(F.col("label").isin(0, 1))
     first = known.groupBy(_sketch(F.col("text")).alias("sketch")).agg(F.min(F.struct("doc_id", "label", "text")).alias("first"))
     known = cut(first.select("first.label", "first.text"))
-    many = {r.label: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not many.get(1) or not many.get(0):
-        return Model({}, loss)
-
-    def counted(among: set[str] | None):
-        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: Counter[str] = Counter()
-            for batch in stream:
-                for t in texts(batch.column(0)):
-                    units = {u for w in {w.strip(_EDGES) for w in t.lower().split()} if w for u in _units(w)}
-                    seen.update(units if among is None else units & among)
-            keys = list(seen)
-            for i in range(0, len(keys), 50_000):
-                part = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[k] for k in part], pa.int64())], names=["u", "n"])
-
-        return run
-
-    by_unit = lambda df: df.groupBy("u").agg(F.sum("n").alias("n"))
-    toxic = by_unit(known.where("label = 1").select("text").mapInArrow(counted(None), "u string, n long")).where("n >= 5")
-    y1 = {r.u: r.n for r in toxic.orderBy(F.desc("n"), "u").limit(4 * MODEL_UNITS).collect()}
-    clean = by_unit(known.where("label = 0").select("text").mapInArrow(counted(set(y1)), "u string, n long"))
-    y0 = {r.u: r.n for r in clean.collect()}
-    units = list(y1)
-    one, zero = np.array([y1[u] for u in units], float), np.array([y0.get(u, 0) for u in units], float)
-    n1, n0 = many[1], many[0]
-    # a unit is in a share of the documents of a kind; the prior adds ``prior`` documents with its overall share
-    share = (one + zero) / (n1 + n0)
-    a1, a0 = one + prior * share, zero + prior * share
-    delta = np.log(a1 / np.maximum(n1 + prior - a1, 0.5)) - np.log(a0 / np.maximum(n0 + prior - a0, 0.5))
-    # sureness is the root of the likelihood ratio against one share for both kinds, fair to small samples too
-    with np.errstate(divide="ignore", invalid="ignore"):
-        term = lambda y, n: np.where(y > 0, y * np.log(np.maximum(y, 1e-9) / (n * share)), 0) + np.where(y < n, (n - y) * np.log((n - y) / (n * np.maximum(1 - share, 1e-9))), 0)
-        z = np.sqrt(np.maximum(2 * (term(one, n1) + term(zero, n0)), 0)) * np.sign(one / n1 - zero / n0)
-    best = [i for i in np.lexsort((units, -z))[:MODEL_UNITS] if z[i] > sure and delta[i] > least and one[i] >= support * n1]
-    model = Model({units[i]: float(delta[i]) for i in best}, loss)
+
+    def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for kind, found in enumerate(seen):
+                names = list(found)
+                for i in range(0, len(names), 50_000):
+                    part = names[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([kind] * len(part), pa.int32()), pa.array([found[k] for k in part], pa.int64())], names=["u", "kind", "n"])
+                found.clear()
+
+        for batch in stream:
+            for kind, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                seen[kind].update({u for w in {w.strip(_EDGES) for w in t.lower().split()} if w for u in _units(w)})
+            if len(seen[0]) + len(seen[1]) > 500_000:
+                yield from sent()
+        yield from sent()
+
+    by_unit = known.select("label", "text").mapInArrow(counted, "u string, kind int, n long").groupBy("u")
+    counts = cut(by_unit.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"y{k}") for k in (1, 0)]))
+    found = log_odds(counts, prior, sure).toPandas()
+    model = Model(dict(zip(found["u"].tolist(), found["s"].tolist(), strict=True)), loss)
+    if not any(s + loss > 0 for s in model.odds.values()):
+        return model
 
     def law(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of clean texts: tokens and best segment of each (many = 0), and how many tokens have each score."""
@@ -173,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, row
     seen = known.where("label = 0").select("text").mapInArrow(law, "many long, n double, s double").toPandas()
     values = seen[seen["many"] > 0].groupby("s")["many"].sum()
     # gains that clean tokens never showed count half a token
-    gains = np.unique(np.concatenate([values.index.to_numpy(float), np.array(list(model.odds.values()), float)]))
+    gains = np.unique(np.concatenate([values.index.to_numpy(float), np.array(list(model.odds.values()), float) + loss]))
     often = np.maximum(values.reindex(gains, fill_value=0).to_numpy(float), 0.5)
     often /= often.sum()
     low, high = 1e-3, 20.0
