@@ -3,6 +3,10 @@
 A page becomes a tree of elements. Each paragraph passes points for its length and its commas to its parent and,
 halved, to its grandparent; a container's points are discounted by the share of its text inside links. The best
 container and those siblings that come near it are kept, less the parts that are page furniture.
+
+Furniture is told by element names, and by words in class, id and role. Words alone can mislead: an element so marked stays
+if it holds the article's own frame or most of the page's prose, and a block of prose inside an article stays under a word
+that may only be its subject.
 """
 
 from __future__ import annotations
@@ -33,29 +37,69 @@ SCOPE = frozenset("ul ol dl menu table select article section div main aside bod
 CLOSES_P = BLOCK - frozenset("body head html title caption option optgroup td th tr tbody thead tfoot legend".split())
 #: Elements that hold no article text wherever they stand.
 FURNITURE = frozenset("nav aside footer form script style noscript iframe template title head button select textarea svg dialog menu object canvas input".split())
-#: Words in class, id or role by which pages mark their furniture.
-MARKED = re.compile(
-    r"(?<![a-z])(ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|sidebar\w*|side-bar|footer\w*|masthead|site-header|page-header|"
-    r"cookie\w*|consent|notice\w*|gdpr|popup|modal|newsletter|subscribe\w*|signup|share|sharing|social\w*|related\w*|recommend\w*|comment|comments|comment-\w+|disqus|respond|replies|pagination|pager|widget\w*|toolbar|complementary|contentinfo|search)(?![a-z])",
-    re.I,
+#: Words in class, id or role by which pages mark reader comments, other furniture, and what may be furniture.
+COMMENTS = frozenset("comment comments disqus replies respond commentlist".split())
+MARKED = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsors sponsored nav navbar navigation breadcrumb breadcrumbs sidebar sidebars footer masthead cookie cookies consent gdpr popup modal "
+    "pagination pager complementary contentinfo".split()
 )
+SOFT = frozenset("banner promo promos menu menus notice notices newsletter subscribe subscription signup share sharing social related recommend recommended recommendations widget widgets toolbar search header".split())
+#: Last parts of compound names that keep the sense of the first one, as in share-buttons; first ones that say a thing is there.
+PARTS = frozenset("area bar block body bottom box button buttons container content form icons inner item items left link links list panel posts right section slot stories thread top unit widget wrap wrapper".split())
+STATES = frozenset("has with no is js hide show without non not".split())
 LIKELY = re.compile(r"(?<![a-z])(article\w*|content|entry\w*|main|post|story|body|text)(?![a-z])", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+#: An attribute as the HTML standard reads it: a quote inside a name or an unquoted value is a letter like others. A quote
+#: that is never closed is taken for one too, so that it costs a value and not the rest of the page.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</(?:>|[^a-zA-Z][^>]*(?:>|$))|"
+    rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]*+{_ATTRIBUTE})*+[\s/]*+)(?:>|$)",
+    re.S,
+)
+_PAIR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def _attributes(area: str) -> dict[str, str]:
+    """Attributes by lower-case name; the first of repeated ones counts."""
+    out: dict[str, str] = {}
+    for name, *values in _PAIR.findall(area):
+        out.setdefault(name.lower(), unescape(next((v for v in values if v), "")))
+    return out
+
+
+def mark_of(names: str) -> str | None:
+    """What class, id or role say an element is: ``comments``, ``marked``, ``soft`` or nothing.
+
+    A name counts by its last word, or by its first one if the last only adds a part; names of a state don't.
+    """
+    found = set()
+    for name in names.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if not words or words[0] in STATES:
+            continue
+        found.add(words[-1])
+        if words[-1] in PARTS:
+            found.add(words[0])
+    for kind, known in (("comments", COMMENTS), ("marked", MARKED), ("soft", SOFT)):
+        if found & known:
+            return kind
+    return None
 
 
 class Element:
-    __slots__ = ("items", "marks", "name", "points", "up", "drop", "chars", "linked")
+    __slots__ = ("items", "marks", "mark", "name", "points", "up", "drop", "chars", "linked", "core")
 
-    def __init__(self, name: str, up: Element | None, attributes: str = "") -> None:
+    def __init__(self, name: str, up: Element | None, area: str = "") -> None:
         self.name, self.up, self.items, self.points = name, up, [], 0.0
-        self.marks = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
-        self.drop = name in FURNITURE or bool(attributes and _HIDDEN.search(attributes))
-        if self.marks and not self.drop and name not in ("html", "body", "article", "main") and MARKED.search(self.marks):
-            self.drop = True
+        found = _attributes(area) if area.strip() else {}
+        self.marks = " ".join(found[k] for k in ("class", "id", "role") if found.get(k))
+        self.mark = mark_of(self.marks) if self.marks and name not in ("html", "body", "main") else None
+        hidden = "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        self.drop = name in FURNITURE or hidden
         self.chars = self.linked = 0
+        self.core = False
 
 
 def parse(html: str) -> Element:
@@ -107,24 +151,49 @@ def parse(html: str) -> Element:
 
 def _walk(top: Element) -> list[Element]:
     """Elements that may hold article text, parents first."""
-    out, stack = [], [top]
+    out, stack = [], [(top, False)]
     while stack:
-        x = stack.pop()
-        if x.drop or (x.name == "header" and not _in_article(x)):
+        x, inside = stack.pop()
+        if x.drop or (x.name == "header" and not inside):
             x.drop = True
             continue
         out.append(x)
-        stack.extend(y for y in reversed(x.items) if isinstance(y, Element))
+        inside = inside or x.name in ("article", "main")
+        stack.extend((y, inside) for y in reversed(x.items) if isinstance(y, Element))
     return out
 
 
-def _in_article(x: Element) -> bool:
-    x = x.up
-    while x is not None:
-        if x.name in ("article", "main"):
-            return True
-        x = x.up
-    return False
+def _weigh(kept: list[Element]) -> None:
+    """How much text each element has, how much of it in links, and whether it frames an article."""
+    for x in reversed(kept):
+        x.chars = x.linked = 0
+        x.core = x.name in ("main", "h1")
+        for y in x.items:
+            if isinstance(y, str):
+                x.chars += len(y.strip())
+            elif not y.drop:
+                x.chars += y.chars
+                x.linked += y.chars if y.name == "a" else y.linked
+                x.core = x.core or y.core or (y.name == "article" and x.mark != "comments")
+        if x.name == "a":
+            x.linked = x.chars
+
+
+def _furnished(kept: list[Element], total: int) -> None:
+    """Drop elements marked as furniture, unless they hold the article's frame, most of the page's prose, or prose in an article."""
+    inside: set[int] = set()
+    for x in kept:
+        if x.up is not None and (x.up.name in ("article", "main") or id(x.up) in inside):
+            inside.add(id(x))
+        if x.mark is None or x.core:
+            continue
+        prose = x.chars - x.linked
+        if x.mark == "comments":
+            x.drop = True
+        elif x.mark == "soft" and id(x) in inside:
+            x.drop = x.chars < 200 or x.linked > 0.3 * x.chars
+        else:
+            x.drop = prose * 2 <= total
 
 
 def _own(x: Element) -> str:
@@ -173,15 +242,10 @@ def extract(html: str) -> str:
     """The main text of a page; empty if there is none."""
     root = parse(html)
     kept = _walk(root)
-    for x in reversed(kept):
-        for y in x.items:
-            if isinstance(y, str):
-                x.chars += len(y.strip())
-            elif not y.drop:
-                x.chars += y.chars
-                x.linked += y.chars if y.name == "a" else y.linked
-        if x.name == "a":
-            x.linked = x.chars
+    _weigh(kept)
+    _furnished(kept, root.chars - root.linked)
+    kept = _walk(root)
+    _weigh(kept)
     for x in kept:
         if x.name in ("p", "pre", "blockquote", "td", "li", "dd") or (x.name in ("div", "section", "article", "main", "body") and any(isinstance(y, str) and y.strip() for y in x.items)):
             text = " ".join(_own(x).split())
