@@ -3,6 +3,10 @@
 Texts are dealt out by (byte length, content hash). Each such partition inserts its full byte strings into a
 compressed radix trie whose terminal nodes own the text: they hold the identifier that stays and the count.
 Two texts share a terminal only if every byte agrees, so a hash collision costs time, never a wrong result.
+
+A trie beyond its limit spills a subtree into a scratch file of its own task, as Spark's sorts do: nobody else reads it,
+a rerun of the task makes it anew, and it is gone when the task is. Only texts of equal length and hash share a trie, so
+in practice that is one text each, and the limit is for collisions.
 """
 
 from __future__ import annotations
@@ -93,14 +97,16 @@ class PatriciaTrie:
         self.held -= sizes[id(node)] - len(node.label)
         node.children, node.owner, node.count, node.spilled = {}, None, 0, out
 
-    def items(self, _depth: int = 0) -> Iterator[tuple[bytes, object, int]]:
-        """Every text with its owner and count; spilled subtrees are built again, one at a time."""
+    def items(self) -> Iterator[tuple[bytes, object, int]]:
+        """Every text with its owner and count; spilled subtrees are built again, one at a time and within the limit.
+
+        Each level of spilling takes at least a byte off all its texts and stands for more than ``limit`` bytes of them.
+        """
         stack = [(self.root, b"")]
         while stack:
             node, prefix = stack.pop()
             if node.spilled is not None:
-                # deeper subtrees differ in more bytes; beyond a few levels the rest is held whole
-                below = PatriciaTrie(self.better, self.limit if _depth < 8 else 1 << 62)
+                below = PatriciaTrie(self.better, self.limit)
                 node.spilled.seek(0)
                 while True:
                     try:
@@ -108,7 +114,7 @@ class PatriciaTrie:
                     except EOFError:
                         break
                 node.spilled.close()
-                for suffix, owner, count in below.items(_depth + 1):
+                for suffix, owner, count in below.items():
                     yield prefix + suffix, owner, count
                 continue
             if node.count:
