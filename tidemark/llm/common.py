@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -16,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts: the cluster's spark.checkpoint.dir, else (in tests) a temporary one."""
+    """The folder for lineage cuts: the session's, or that of spark.checkpoint.dir; only a local master makes do with a temporary one."""
     sc = spark.sparkContext
     set_already = sc.getCheckpointDir()
     if set_already:
         return set_already
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    where = where or tempfile.mkdtemp(prefix="tidemark-")
     sc.setCheckpointDir(where)
     return sc.getCheckpointDir()
 
@@ -32,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Ids up to which a set to leave out is sent to every task (about 30 bytes each); beyond, both sides are shuffled.
 BROADCAST_IDS = 200_000
 

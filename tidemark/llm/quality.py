@@ -159,7 +159,11 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score reaches ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose score reaches ``threshold``.
+
+    Every row is judged by its own text, as ``classify`` does: null counts as empty, ids and repeated rows play no part. An
+    empty sample gives every row the score 0.5; no rows give no rows.
+    """
     model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, folds, held, rows)
     at = docs.columns.index(text_col)
 
