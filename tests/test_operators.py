@@ -140,12 +140,21 @@ def wave(n=512):
     return 10 + 0.01 * t + 3 * np.sin(2 * np.pi * t / 24) + rng.normal(0, 0.3, n)
 
 
-def test_surrogates_permute_and_keep_the_spectrum():
+def test_surrogates_permute_and_keep_the_spectrum(spark):
     x = wave()
     s = np.array([G.iaaft(x, f"t|{k}")[0] for k in range(10)])
     assert all((np.sort(r) == np.sort(x)).all() for r in s) and (s[0] == G.iaaft(x, "t|0")[0]).all() and (s[0] != s[1]).any()
-    quantile, acf, spectrum = G.validate(x, s)
-    assert quantile < 1e-9 and acf < 0.2 and spectrum < 0.25
+    drawn = spark.createDataFrame([("a", k, r.tolist()) for k, r in enumerate(s)], "sid string, k long, surrogate array<double>")
+    got = G.validation_report(long(spark, x), drawn).first()
+    assert got.dist_max_rel_diff < 1e-9 and got.acf_max_abs_diff < 0.2 and got.spec_median_rel_diff < 0.25 and got.n_surrogates == 10
+    # the same three figures straight from their definitions
+    q = np.linspace(0, 1, 101)
+    assert got.dist_max_rel_diff == pytest.approx(np.abs(np.mean([np.quantile(r, q) for r in s], 0) - np.quantile(x, q)).max() / np.ptp(x), abs=1e-9)
+    r = lambda y, k: float(((y - y.mean())[:-k] * (y - y.mean())[k:]).sum() / ((y - y.mean()) ** 2).sum())
+    assert got.acf_max_abs_diff == pytest.approx(max(abs(np.mean([r(y, k) for y in s]) - r(x, k)) for k in range(1, 51)))
+    power = lambda y: np.abs(np.fft.rfft(y - y.mean())) ** 2
+    off = np.abs(np.mean([power(y) for y in s], 0) - power(x)) / np.maximum(power(x), 1e-12 * power(x).max())
+    assert got.spec_median_rel_diff == pytest.approx(np.median(off))
     for bad in (np.array([1.0, np.nan] * 8), np.arange(4.0)):
         with pytest.raises(ValueError):
             G.iaaft(bad, "t")
@@ -343,3 +352,122 @@ def test_a_failing_dataset_is_an_error_row(spark):
 
     got = {r.dataset: (r.mase, r.error) for r in T.guarded(spark, ["good", "bad"], score).collect()}
     assert got["good"] == (0.5, None) and got["bad"][0] is None and len(got["bad"][1]) == 120
+
+
+def test_ties_and_nulls_among_p_values(spark):
+    t = spark.createDataFrame([("g", i, p) for i, p in enumerate([0.02, 0.02, 0.5, None, 0.9])] + [("h", 9, 0.01)], "grp string, sid int, p double")
+    got = {r.sid: (r.p_adj, r.fires) for r in V.benjamini_hochberg(t, ["grp"]).collect()}
+    assert got[0] == got[1] == (pytest.approx(0.04), True) and got[2][0] == pytest.approx(0.5 * 4 / 3) and got[3] == (None, False) and got[9][0] == 0.01
+
+
+@pytest.mark.parametrize(("h", "m", "windows"), [(4, 3, 5), (3, 7, 4), (5, 1, 3), (2, 40, 6), (4, 4, None)])
+def test_rolling_scores_in_one_pass(spark, h, m, windows):
+    rng = np.random.default_rng(3)
+    df = long(spark, rng.normal(size=60)).union(long(spark, rng.normal(size=23), "b")).union(long(spark, [1.0, None, 2.0, 4.0, 1.0, 7.0, 3.0, 8.0, 2.0, 2.0, 5.0, 9.0], "c"))
+    keys = ("sid", "window_index")
+    split = W.rolling(df, h, windows).drop("ts")
+    whole = split.where("part = 'target'").groupBy(*keys).count().where(F.col("count") == h)
+    want = C.mase(split, P.seasonal_naive(split, h, m, keys), C.seasonal_error(split, m, keys), keys).join(whole, list(keys), "left_semi")
+    shape = lambda x: sorted((r.sid, r.window_index, r.mase is None, round(r.mase or 0, 9)) for r in x.collect())
+    assert shape(C.rolling_mase(df, h, m, windows)) == shape(want)
+
+
+@pytest.mark.parametrize("m", [1, 3, 7, 30])
+def test_scores_of_arrays(spark, m):
+    df = long(spark, [1.0, 4, 2, 8, 5, 7, 1, 3, 9, 9, 4, 6]).union(long(spark, [3.0] * 12, "b")).union(long(spark, [2.0, 5.0, 1.0], "c"))
+    split = W.split_fixed(df, -2, 2)
+    want = {r.sid: r.mase for r in C.mase(split, P.seasonal_naive(split, 2, m), C.seasonal_error(split, m)).collect()}
+    got = {r.sid: r.mase for r in G.held(df).select("sid", C.array_mase(F.col("x"), 2, m).alias("mase")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (v if v is None else pytest.approx(v)) for k, v in want.items())
+
+
+def test_blocks_cut_from_arrays_are_those_of_the_join(spark):
+    df = long(spark, range(50)).union(long(spark, range(7), "b")).union(long(spark, [1, None, 3], "c"))
+    for family, length in (("block", None), ("single", F.lit(1).cast("bigint"))):
+        want = {(r.sid, r.k, r.pos): r.v for r in G.block_bootstrap(df, 4, 3, length, family).collect()}
+        rows = G.ensembles(G.held(df), (family,), 4, 3).select("sid", "k", F.posexplode("x").alias("pos", "v")).collect()
+        assert {(r.sid, r.k, r.pos): r.v for r in rows} == want
+
+
+def test_matches_around_holes_against_a_plain_search():
+    rng = np.random.default_rng(5)
+    c = np.round(rng.normal(size=400), 2)
+    c[[50, 51, 180]] = np.nan
+    q = c[100:130]
+    z = lambda x: (x - x.mean()) / x.std()
+    rms = {i: np.sqrt(((z(q) - z(c[i : i + 30])) ** 2).mean()) for i in range(371) if np.isfinite(c[i : i + 30]).all()}
+    got = D.distances(q, c)
+    assert all(got[i] == pytest.approx(v, abs=1e-6) for i, v in rms.items()) and np.isinf(np.delete(got, list(rms))).all()
+    found = D.find_matches(q, c)
+    assert found[0][0] == 100 and all(abs(a[0] - b[0]) >= 30 for i, a in enumerate(found) for b in found[:i])
+
+
+def test_queries_in_blocks(spark):
+    c = corpus(300)
+    df = long(spark, c).union(long(spark, c[::-1], "b"))
+    queries = spark.createDataFrame([(str(i), c[10 * i : 10 * i + 40].tolist()) for i in range(9)], "query string, q array<double>")
+    few = D._pairs(queries, df, None)
+    blocks = D._pairs(queries, df, None, at_once=2)
+    assert sorted((r.query, r.sid) for r in few.collect()) == sorted((r.query, r.sid) for r in blocks.collect()) and few.count() == 18
+
+
+def test_nanosecond_files_can_be_read(spark, tmp_path):
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    at = pd.to_datetime(["2025-01-01 00:00:00.123456789", "2025-01-01 01:00:00.000000000"])
+    t = pa.table({"series_id": ["a", "a"], "source": ["s", "t"], "domain": ["d", "d"], "freq": ["H", "H"], "timestamp": pa.array(at, pa.timestamp("ns")), "value": [1.0, float("nan")]})
+    pq.write_table(t, str(tmp_path / "n.parquet"), version="2.6")
+    got = tables.read_series(spark, str(tmp_path / "n.parquet")).orderBy("ts").collect()
+    assert [r.ts.microsecond for r in got] == [123456, 0] and got[1].v is None and {r.source for r in got} == {"s"}
+
+
+def test_a_source_is_asked_once(spark, tmp_path):
+    calls = []
+
+    def fetcher(spark, key, a, b):
+        calls.append(key)
+        return long(spark, [1, 2], key)
+
+    df, _ = feeds.fetch_all(spark, ["open_meteo"], date(2025, 1, 1), date(2025, 2, 1), fetcher, str(tmp_path / "landing"))
+    assert df.count() == 2 and "landing" in df.inputFiles()[0] and calls == ["open_meteo"]
+
+
+def test_one_file_has_its_own_digest(spark, tmp_path):
+    long(spark, [1, 2]).coalesce(1).write.parquet(str(tmp_path / "x"))
+    one = next((tmp_path / "x").glob("*.parquet"))
+    assert tables.files_sha256(spark, str(tmp_path / "x")) == hashlib.sha256(one.read_bytes()).hexdigest()
+
+
+def test_registry_and_lock():
+    assert config.model("moirai-base").context_cap is None and config.latest_release() <= config.CUTOFF
+    with pytest.raises(KeyError, match="lag-llama"):
+        config.model("nothing")
+
+    def resolve(repo):
+        if "Lag" in repo:
+            raise OSError("gated")
+        return {"sha": repo[:3], "lastModified": "x"}
+
+    got = config.lock(resolve, "now")["models"]
+    assert config.pinned_revision(got, "chronos-base") == "ama" and got["lag-llama"]["revision"] is None and "gated" in got["lag-llama"]["error"]
+    with pytest.raises(RuntimeError):
+        config.pinned_revision(got, "lag-llama")
+
+
+def test_nested_targets_and_short_series(spark):
+    t = spark.createDataFrame([("a", [[1.0, 2.0, 3.0, 4.0, 5.0], [5.0, 4.0, 3.0, 2.0, 1.0]]), ("b", [[7.0, 8.0, 9.0]])], "sid string, target array<array<double>>")
+    got = {(r.sid, r.dimension, r.window_index): (r.past, r.target) for r in W.nested_windows(t, 1, 2).collect()}
+    assert got["a", 1, 0] == ([5.0, 4, 3], [2.0]) and got["b", 0, 1] == ([7.0, 8], [9.0]) and len(got) == 6
+    df = long(spark, [1, None, 3, 4]).union(long(spark, range(6), "b"))
+    assert {r.sid for r in S.drop_missing(df, 5).collect()} == {"b"} and S.drop_missing(df).count() == 9
+
+
+def test_a_missing_forecast_is_no_equivalence(spark):
+    split = W.split_fixed(long(spark, [1.0, 4, 2, 8, 5, 7]), -2, 2)
+    ours, errors = P.seasonal_naive(split, 2, 1), C.seasonal_error(split, 1)
+    assert C.equivalence(split, ours, ours, errors).first().equivalent
+    assert not C.equivalence(split, ours, ours.withColumn("yhat", F.col("yhat") + 1), errors).first().equivalent
+    with pytest.raises(Exception, match="missing on one side"):
+        C.equivalence(split, ours, ours.where("step = 0"), errors).collect()

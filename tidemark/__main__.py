@@ -23,8 +23,8 @@ def main(argv: list[str] | None = None) -> dict:
         load_dotenv(a.env)
     start, end = fetch_window(a.start, a.end)
     spark = get_session("tidemark-fetch")
-    observations, status = fetch_all(spark, [k for k in a.sources.split(",") if k], start, end)
     now = datetime.now(timezone.utc)
+    observations, status = fetch_all(spark, [k for k in a.sources.split(",") if k], start, end, landing=f"{a.out}/landing_{now:%Y%m%d%H%M%S}")
     return snapshot(spark, observations, status, f"{a.out}/fresh_{now:%Y%m%d}", (str(start), str(end)), str(CUTOFF), now.isoformat())
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, timedelta
 
@@ -52,6 +53,53 @@ class SourceSpec:
 SOURCES = {x.key: x for x in (SourceSpec("open_meteo", "weather", "H"), SourceSpec("wikipedia", "web", "D"), SourceSpec("entsoe", "electricity", "H", "ENTSOE_API_TOKEN"))}
 
 
+@dataclass(frozen=True)
+class ModelSpec:
+    """A model under evaluation; ``context_cap`` is the longest input that it takes, none where any will do."""
+
+    key: str
+    repo: str
+    released: date
+    context_cap: int | None = None
+
+
+#: The public models under evaluation.
+MODELS = {
+    x.key: x
+    for x in (
+        ModelSpec("chronos-base", "amazon/chronos-t5-base", date(2024, 3, 13), 512),
+        ModelSpec("timesfm-200m", "google/timesfm-1.0-200m", date(2024, 5, 1), 512),
+        ModelSpec("moirai-base", "Salesforce/moirai-1.0-R-base", date(2024, 3, 1)),
+        ModelSpec("lag-llama", "time-series-foundation-models/Lag-Llama", date(2024, 2, 5)),
+    )
+}
+
+
+def model(key: str) -> ModelSpec:
+    """A registered model; an unknown key names those that are known."""
+    if key not in MODELS:
+        raise KeyError(f"{key} is none of {', '.join(MODELS)}")
+    return MODELS[key]
+
+
+def latest_release() -> date:
+    """The last release among the registered models, before which no observation is fresh for all of them."""
+    return max(x.released for x in MODELS.values())
+
+
+def lock(resolve: Callable[[str], dict], now: str) -> dict:
+    """The revisions that ``resolve`` (repository -> answer with ``sha``) gives; a failure is an entry without one."""
+
+    def entry(spec: ModelSpec) -> dict:
+        try:
+            found = resolve(spec.repo)
+            return {"repo_id": spec.repo, "revision": found["sha"], "last_modified": found.get("lastModified")}
+        except Exception as e:  # one model that can't be resolved stops no other
+            return {"repo_id": spec.repo, "revision": None, "error": f"{type(e).__name__}: {e}"[:200]}
+
+    return {"schema_version": 1, "resolved_at_utc": now, "models": {k: entry(x) for k, x in MODELS.items()}}
+
+
 def fetch_window(start: date, end: date | None = None, today: date | None = None) -> tuple[date, date]:
     """The window to fetch: no day before the cutoff, and no day so late that it may still change."""
     end = end or (today or date.today()) - timedelta(days=LAG_DAYS)

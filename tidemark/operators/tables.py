@@ -34,16 +34,21 @@ def overwrite_datasets(df: DataFrame, path: str, by: str = "dataset") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def guarded(spark: SparkSession, datasets: list[str], score: Callable[[str], DataFrame], most: int = 120) -> DataFrame:
+def guarded(spark: SparkSession, datasets: list[str], score: Callable[[str], DataFrame], most: int = 120, path: str | None = None) -> DataFrame:
     """Scores of all datasets that can be scored, and a row with the start of the error for each that can't.
 
-    ``score`` gives a dataset's result; it is computed here, so that a failure shows and stops no other dataset.
+    ``score`` gives a dataset's result; it is computed here, so that a failure shows and stops no other dataset. With a
+    folder ``path`` it is written there and read back; without one the reader computes it again.
     """
     out = spark.createDataFrame([], "dataset string, error string")
     for name in datasets:
         try:
             rows = score(name).withColumns({"dataset": F.lit(name), "error": F.lit(None).cast("string")})
-            rows.write.format("noop").mode("overwrite").save()
+            if path:
+                rows.write.mode("overwrite").parquet(f"{path}/{name}")
+                rows = spark.read.parquet(f"{path}/{name}")
+            else:
+                rows.write.format("noop").mode("overwrite").save()
         except Exception as e:
             rows = spark.createDataFrame([(name, str(e)[:most])], "dataset string, error string")
         out = out.unionByName(rows, allowMissingColumns=True)
