@@ -70,6 +70,11 @@ def relative_difference(a: Column, b: Column) -> Column:
     return F.abs(a - b) / F.greatest(F.abs(a), F.lit(1e-8))
 
 
+def context_factor(context: Column, horizon: Column, trained: Column) -> Column:
+    """By how much positions are stretched for a model trained on contexts of ``trained`` points; never below one."""
+    return F.greatest(F.lit(1.0), (context + horizon) / trained)
+
+
 def task_key(dataset: Column, freq: Column, term: Column) -> Column:
     return F.concat_ws("/", dataset, freq, term)
 

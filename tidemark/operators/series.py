@@ -121,8 +121,27 @@ def even_sample(df: DataFrame, many: int) -> DataFrame:
     return positions(df).where((F.col("pos") % step == 0) & (F.col("pos") / step < many)).select("sid", "pos", "v")
 
 
-def drop_missing(df: DataFrame) -> DataFrame:
-    return df.where(F.col("v").isNotNull())
+def drop_missing(df: DataFrame, least: int = 1) -> DataFrame:
+    """Observations with a value, of series that have at least ``least`` of them."""
+    known = df.where(F.col("v").isNotNull())
+    if least <= 1:
+        return known
+    return known.withColumn("_n", F.count(F.lit(1)).over(whole())).where(F.col("_n") >= least).drop("_n")
+
+
+def merged_metadata(old: Column, new: Column) -> Column:
+    """All keys of both maps, with the value of ``new`` where both have one; a null map is empty."""
+    empty = F.create_map().cast("map<string,string>")
+    old, new = F.coalesce(old, empty), F.coalesce(new, empty)
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
+def segment_metadata(table: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(sid, metadata) of the segments in ``table``, as ``segment_table`` gives them: the parent's entries and their place in it."""
+    own = F.create_map(
+        F.lit("parent_series_id"), F.col("sid"), F.lit("segment_number"), F.col("segment_number").cast("string"), F.lit("segments_found"), F.col("segments_found").cast("string")
+    )
+    return table.join(metadata, "sid", "left").select(segment_id(F.col("sid"), F.col("segment_number")).alias("sid"), merged_metadata(F.col("metadata"), own).alias("metadata"))
 
 
 def longest_run(df: DataFrame) -> DataFrame:

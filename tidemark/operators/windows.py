@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .series import positions
@@ -22,18 +22,52 @@ def split_fixed(df: DataFrame, offset: int, h: int) -> DataFrame:
     return p.select("sid", F.when(is_past, "past").otherwise("target").alias("part"), F.when(is_past, F.col("pos")).otherwise(F.col("pos") - cut).alias("step"), "v")
 
 
-def rolling(df: DataFrame, h: int, windows: int | None = None) -> DataFrame:
-    """One row per point of each rolling window: sid, window_index, part, step, ts, v.
+def split_by_config(df: DataFrame, configs: DataFrame, dataset: Column) -> DataFrame:
+    """``split_fixed`` for many datasets at once: ``configs`` (name, offset, h) are few and give each series its own split."""
+    named = df.withColumn("_name", dataset).join(F.broadcast(configs.select(F.col("name").alias("_name"), "offset", "h")), "_name")
+    p = positions(named).withColumn("cut", F.col("n") + F.col("offset"))
+    p = p.where((F.col("cut") > 0) & (F.col("h") <= -F.col("offset")) & (F.col("pos") < F.col("cut") + F.col("h")))
+    is_past = F.col("pos") < F.col("cut")
+    step = F.when(is_past, F.col("pos")).otherwise(F.col("pos") - F.col("cut"))
+    return p.select("sid", F.when(is_past, "past").otherwise("target").alias("part"), step.cast("bigint").alias("step"), "v")
+
+
+def nested_windows(targets: DataFrame, h: int, windows: int | None = None) -> DataFrame:
+    """(sid, dimension, window_index, past, target) of series held as arrays of values or of arrays (sid, target).
 
-    Window i starts h * (w - i) before the end; its past reaches back to the start. Without ``windows`` their
-    number follows the shortest series, a one-row aggregate joined to all.
+    Each inner array is a series of its own. Without ``windows`` the shortest of them all sets the number of windows,
+    which is an aggregate of one row.
     """
-    p = positions(df)
+    if dict(targets.dtypes)["target"].startswith("array<array"):
+        each = targets.select("sid", F.posexplode("target").alias("dimension", "x"))
+    else:
+        each = targets.select("sid", F.lit(0).alias("dimension"), F.col("target").alias("x"))
     if windows is None:
-        least = df.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
-        p = p.crossJoin(F.broadcast(least)).withColumn("w", F.least(F.greatest(F.ceil(0.1 * F.col("least") / h), F.lit(1)), F.lit(20)))
+        least = each.agg(F.min(F.size("x")).alias("_least"))
+        count = F.least(F.greatest(F.ceil(0.1 * F.col("_least") / h), F.lit(1)), F.lit(20)).cast("int")
+        each = each.crossJoin(F.broadcast(least)).withColumn("w", count)
     else:
-        p = p.withColumn("w", F.lit(windows))
+        each = each.withColumn("w", F.lit(windows))
+    each = each.withColumn("window_index", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    start = F.size("x") - h * (F.col("w") - F.col("window_index"))
+    return each.where(start > 0).select("sid", "dimension", "window_index", F.slice("x", 1, start).alias("past"), F.slice("x", start + 1, h).alias("target"))
+
+
+def with_window_count(df: DataFrame, p: DataFrame, h: int, windows: int | None) -> DataFrame:
+    """``p`` with the number ``w`` of rolling windows; without ``windows`` it follows the shortest series of ``df``, a one-row aggregate."""
+    if windows is not None:
+        return p.withColumn("w", F.lit(windows))
+    least = df.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
+    return p.crossJoin(F.broadcast(least)).withColumn("w", F.least(F.greatest(F.ceil(0.1 * F.col("least") / h), F.lit(1)), F.lit(20)))
+
+
+def rolling(df: DataFrame, h: int, windows: int | None = None) -> DataFrame:
+    """One row per point of each rolling window: sid, window_index, part, step, ts, v.
+
+    Window i starts h * (w - i) before the end; its past reaches back to the start. Scores of many windows are had
+    without these rows by ``scoring.rolling_mase``.
+    """
+    p = with_window_count(df, positions(df), h, windows)
     each = p.withColumn("window_index", F.explode(F.sequence(F.lit(0), F.col("w").cast("int") - 1)))
     start = F.col("n") - h * (F.col("w") - F.col("window_index"))
     each = each.where((start > 0) & (F.col("pos") < start + h))
@@ -87,8 +121,3 @@ def left_pad(df: DataFrame, column: str, size: int) -> DataFrame:
         "is_pad": F.concat(F.array_repeat(F.lit(True), pad), F.transform(kept, lambda x: F.lit(False))),
         "observed": F.concat(F.array_repeat(F.lit(False), pad), F.transform(kept, lambda x: x.isNotNull())),
     })
-
-
-def by_sid(column: str):
-    """A running window by series over ``column``."""
-    return Window.partitionBy("sid").orderBy(column)

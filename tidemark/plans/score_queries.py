@@ -133,14 +133,14 @@ def acf(spark, d):
     return rounded(G.autocorrelation(ship(spark, d), 14), "r")
 
 
-def _day_profile(spark, d):
-    return ev(spark, d).groupBy("sid", F.hour("ts").alias("h")).agg(F.round(F.avg("v"), 4).alias("v")).select("sid", F.timestamp_seconds(F.col("h") * 3600).alias("ts"), "v")
-
-
-@query("spectrum", f"""WITH {SQL_EV}, p AS (SELECT sid, hour(ts) AS h, round(avg(v), 4) AS v FROM ev GROUP BY 1, 2), n AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY h) - 1 AS t, count(*) OVER (PARTITION BY sid) AS n, v - avg(v) OVER (PARTITION BY sid) AS x FROM p)
-    SELECT sid, f::BIGINT AS f, round(sum(x * cos(2 * pi() * f * t / n)) ** 2 + sum(x * sin(2 * pi() * f * t / n)) ** 2, 4) AS power FROM n, range(0, 13) g(f) GROUP BY 1, 2""")
+@query("spectrum", f"""WITH {SQL_SHIP}, n AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY ts) - 1 AS t, count(*) OVER (PARTITION BY sid) AS n, v - avg(v) OVER (PARTITION BY sid) AS x, max(v) OVER (PARTITION BY sid) AS top FROM ship),
+    c AS (SELECT sid, f, n, any_value(top) AS top, sum(x * cos(2 * pi() * ((f * t) % n) / n)) AS a, sum(x * sin(2 * pi() * ((f * t) % n) / n)) AS b FROM n, range(0, 3000) g(f) WHERE f <= n // 2 GROUP BY 1, 2, 3)
+    SELECT sid, f::BIGINT AS f, round((a / top) ** 2 + (b / top) ** 2, 4) AS power FROM c""")
 def spectrum(spark, d):
-    return rounded(G.spectrum(_day_profile(spark, d)), "power", digits=4)
+    """Power of every frequency of each daily series, whole, in units of its largest value."""
+    s = ship(spark, d)
+    scaled = s.join(s.groupBy("sid").agg(F.max("v").alias("top")), "sid").select("sid", "ts", (F.col("v") / F.col("top")).alias("v"))
+    return rounded(G.spectrum(scaled), "power", digits=4)
 
 
 @query("sliding_stats", f"""WITH {SQL_EV}, {sql_pos('ev')} SELECT sid, pos, round(m, 7) AS mean, round(s, 7) AS std FROM (SELECT sid, pos, n, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s FROM ev_p WINDOW w AS (PARTITION BY sid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)) WHERE pos <= n - 24""")
@@ -159,18 +159,21 @@ _PROFILE = f"""{_QUERIES}, qz AS (SELECT query, i, (v - avg(v) OVER (PARTITION B
 
 
 def _queries(spark, d):
+    """A copy out of the first series by name, a rescaled one out of the second, and noise."""
     p = S.positions(ev(spark, d))
-    names = sorted(r.sid for r in p.select("sid").distinct().limit(50).collect())  # event types, a handful
-    cut = lambda name, sid, a, f: p.where((F.col("sid") == sid) & F.col("pos").between(a, a + _W - 1)).select(F.lit(name).alias("query"), (F.col("pos") - a).alias("i"), f(F.col("v")).alias("v"))
+    first = p.agg(F.min("sid").alias("one"))
+    names = first.join(p.join(F.broadcast(first), F.col("sid") > F.col("one")).agg(F.min("sid").alias("two")))
+    p = p.join(F.broadcast(names), F.col("sid").isin(F.col("one"), F.col("two")))
+    cut = lambda name, column, a, f: p.where((F.col("sid") == F.col(column)) & F.col("pos").between(a, a + _W - 1)).select(F.lit(name).alias("query"), (F.col("pos") - a).alias("i"), f(F.col("v")).alias("v"))
     noise = spark.range(_W).select(F.lit("other").alias("query"), F.col("id").alias("i"), (F.col("id") * 7919 % 101).cast("double").alias("v"))
-    rows = cut("copy", names[0], 100, lambda v: v).unionByName(cut("rescaled", names[1], 60, lambda v: v * 1000 - 47.5)).unionByName(noise)
+    rows = cut("copy", "one", 100, lambda v: v).unionByName(cut("rescaled", "two", 60, lambda v: v * 1000 - 47.5)).unionByName(noise)
     held = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("o")).where(F.size("o") == _W)
     return held.select("query", F.transform("o", lambda x: x["v"]).alias("q"))
 
 
-@query("znorm_profile", f"WITH {SQL_EV}, {_PROFILE} SELECT query, sid, \"offset\", round(rms, 5) AS rms FROM pr WHERE query = 'copy'")
+@query("znorm_profile", f"WITH {SQL_EV}, {_PROFILE} SELECT query, sid, \"offset\", round(rms, 5) AS rms FROM pr")
 def znorm_profile(spark, d):
-    return rounded(D.profiles(_queries(spark, d).where("query = 'copy'"), ev(spark, d)), "rms", digits=5)
+    return rounded(D.profiles(_queries(spark, d), ev(spark, d)), "rms", digits=5)
 
 
 def _found(spark, d):
@@ -226,7 +229,7 @@ def surrogate_validation(spark, d):
     return G.validation_report(t, G.iaaft_ensemble(t, 5))
 
 
-_K = 19
+_K = Protocol().surrogates
 _REAL = f"""r_s AS (SELECT sid, CASE WHEN pos < n - 14 THEN 'past' ELSE 'target' END AS part, CASE WHEN pos < n - 14 THEN pos ELSE pos - (n - 14) END AS step, v FROM tl_p), {sql_mase('r', M, H)}"""
 
 
@@ -244,31 +247,24 @@ _TESTS = f"""WITH {SQL_SHIP}, {_TAIL}, {_REAL}, {_surr('block')}, {_surr('single
     ad AS (SELECT *, least(1, min(raw) OVER (PARTITION BY family ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS p_adj FROM bh)"""
 
 
-def _real_and_surrogates(spark, d):
-    t = S.tail(ship(spark, d), 256).select("sid", "ts", "v")
-    real = _mase(t, M, H, -H)
-    scores = []
-    for family, length in (("block", None), ("single", F.lit(1).cast("bigint"))):
-        s = G.block_bootstrap(t, M, _K, length, family)
-        cut = F.lit(256 - H)
-        split = s.select("sid", "k", F.when(F.col("pos") < cut, "past").otherwise("target").alias("part"), F.when(F.col("pos") < cut, F.col("pos")).otherwise(F.col("pos") - cut).alias("step"), "v")
-        keys = ("sid", "k")
-        scores.append(C.mase(split, P.seasonal_naive(split, H, M, keys), C.seasonal_error(split, M, keys), keys).withColumn("family", F.lit(family)))
-    return real, scores[0].unionByName(scores[1])
+def _members(spark, d, families):
+    """(sid, family, k, r, s): scores of the last 256 points of each series and, beside them, of its surrogates.
+
+    One scan: the real score rides with its series, and a member is one row.
+    """
+    series = G.held(S.tail(ship(spark, d), 256)).withColumn("r", C.array_mase(F.col("x"), H, M))
+    return G.ensembles(series, families, M, _K).select("sid", "family", "k", "r", C.array_mase(F.col("x"), H, M).alias("s"))
 
 
 @query("surrogate_gap", f"{_GAP} SELECT r.sid, round(any_value(r.mase), 6) AS real, round(median(x.mase), 6) AS median, round(100 * (median(x.mase) - any_value(r.mase)) / median(x.mase), 4) AS gap_pct FROM x_m x JOIN r_a r ON r.sid = x.sid GROUP BY 1")
 def surrogate_gap(spark, d):
-    real, surr = _real_and_surrogates(spark, d)
-    med = surr.where("family = 'block'").groupBy("sid").agg(F.median("mase").alias("median"))
-    g = real.join(med, "sid").select("sid", F.col("mase").alias("real"), "median", X.gap_pct(F.col("mase"), F.col("median")).alias("gap_pct"))
+    med = _members(spark, d, ("block",)).groupBy("sid").agg(F.first("r").alias("real"), F.median("s").alias("median"))
+    g = med.withColumn("gap_pct", X.gap_pct(F.col("real"), F.col("median")))
     return rounded(rounded(g, "real", "median"), "gap_pct", digits=4)
 
 
-def _tests(spark, d):
-    real, surr = _real_and_surrogates(spark, d)
-    both = real.withColumn("family", F.explode(F.array(F.lit("block"), F.lit("single"))))
-    return V.rank_pvalue(both, surr, ("sid", "family"))
+def _tests(spark, d, families=("block", "single")):
+    return V.rank_members(_members(spark, d, families), ("sid", "family"))
 
 
 @query("rank_pvalue", f"{_TESTS} SELECT sid, family, round(p, 6) AS p, round(g, 6) AS g FROM pv")
@@ -276,8 +272,8 @@ def rank_pvalue(spark, d):
     return rounded(_tests(spark, d), "p", "g")
 
 
-def _bh(spark, d):
-    return V.benjamini_hochberg(_tests(spark, d), ["family"], Protocol().fdr)
+def _bh(spark, d, families=("block", "single")):
+    return V.benjamini_hochberg(_tests(spark, d, families), ["family"], Protocol().fdr)
 
 
 @query("bh_fdr", f"{_TESTS} SELECT sid, family, round(p, 6) AS p, round(g, 6) AS g, round(p_adj, 6) AS p_adj, p_adj <= 0.1 AS fires FROM ad")
@@ -286,10 +282,20 @@ def bh_fdr(spark, d):
 
 
 @query("firing_verdict", f"""{_TESTS}, v AS (SELECT 'ship_day' AS dataset, avg((family = 'block' AND p_adj <= 0.1)::INT) FILTER (family = 'block') AS br, median(g) FILTER (family = 'block') AS be, avg((p_adj <= 0.1)::INT) FILTER (family = 'single') AS sr, median(g) FILTER (family = 'single') AS se FROM ad)
-    SELECT dataset, round(br, 6) AS block_rate, round(be, 6) AS block_effect, round(sr, 6) AS single_rate, round(se, 6) AS single_effect, 'undetermined' AS verdict FROM v""")
+    SELECT dataset, round(br, 6) AS block_rate, round(be, 6) AS block_effect, round(sr, 6) AS single_rate, round(se, 6) AS single_effect,
+           CASE WHEN least(br, sr) >= 0.2 AND least(be, se) > 0 THEN 'fires' ELSE 'silent' END AS verdict FROM v""")
 def firing_verdict(spark, d):
     t = _bh(spark, d).withColumn("dataset", F.split("sid", ":")[0])
-    return rounded(V.firing(t, ["dataset"], Protocol().firing, None, ("block", "single")), "block_rate", "block_effect", "single_rate", "single_effect")
+    out = V.firing(t, ["dataset"], Protocol().firing, 0.0, ("block", "single"))
+    return rounded(out, "block_rate", "block_effect", "single_rate", "single_effect")
+
+
+@query("null_control")
+def null_control(spark, d):
+    """The protocol's own pair of families, each of a hundred surrogates; Fourier surrogates have no SQL form."""
+    families = Protocol().families
+    t = _bh(spark, d, families).withColumn("dataset", F.split("sid", ":")[0])
+    return rounded(V.firing(t, ["dataset"], Protocol().firing, 0.0, families), *[f"{f}_{x}" for f in families for x in ("rate", "effect")])
 
 
 @query("median_ratio", f"""{_MASE}, w AS (SELECT sid, (step - (k - 28)) % 7 AS ph, avg(v) AS yhat FROM ship_k WHERE k >= 28 AND step >= k - 28 GROUP BY 1, 2), sw AS (SELECT t.sid, avg(abs(t.v - w.yhat)) / any_value(err) AS mase FROM ship_s t JOIN w ON w.sid = t.sid AND w.ph = t.step % 7 JOIN ship_e e ON e.sid = t.sid WHERE t.part = 'target' GROUP BY 1)
@@ -301,9 +307,7 @@ def median_ratio(spark, d):
 
 
 def _rolling_scores(spark, d):
-    keys = ("sid", "window_index")
-    split = W.rolling(ship(spark, d), H).drop("ts")
-    return C.mase(split, P.seasonal_naive(split, H, M, keys), C.seasonal_error(split, M, keys), keys)
+    return C.rolling_mase(ship(spark, d), H, M)
 
 
 _ROLL = f"""WITH {SQL_SHIP}, {sql_pos('ship')}, c AS (SELECT least(greatest(ceil(0.1 * min(n) / 14), 1), 20)::BIGINT AS w FROM ship_p),
@@ -318,10 +322,10 @@ def rolling_scores(spark, d):
 
 
 @query("bootstrap_ci", f"""{_ROLL}, nb AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY window_index) - 1 AS i, count(*) OVER (PARTITION BY sid) AS n FROM rs WHERE mase IS NOT NULL), sz AS (SELECT DISTINCT sid, n FROM nb),
-    dr AS (SELECT sid, b, ('0x' || substr(sha256('20260726|bootstrap|' || sid || '|' || b || '|' || j), 9, 8))::BIGINT % n AS i FROM sz, range(0, 200) r(b), range(0, 20) u(j) WHERE j < n),
+    dr AS (SELECT sid, b, ('0x' || substr(sha256('20260726|bootstrap|' || sid || '|' || b || '|' || j), 9, 8))::BIGINT % n AS i FROM sz, range(0, 2000) r(b), range(0, 20) u(j) WHERE j < n),
     me AS (SELECT dr.sid, b, avg(mase) AS m FROM dr JOIN nb ON nb.sid = dr.sid AND nb.i = dr.i GROUP BY 1, 2) SELECT sid, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM me GROUP BY 1""")
 def bootstrap_ci(spark, d):
-    return rounded(V.bootstrap_interval(_rolling_scores(spark, d), 200), "lo", "hi")
+    return rounded(V.bootstrap_interval(_rolling_scores(spark, d), Protocol().resamples), "lo", "hi")
 
 
 @query("left_pad", f"""{_SPLIT}, a AS (SELECT sid, list(v ORDER BY step) AS p FROM ship_s WHERE part = 'past' GROUP BY 1)
@@ -346,6 +350,84 @@ def relative_difference(spark, d):
     return rounded(t.groupBy("sid").agg(F.median(X.relative_difference(F.col("v"), F.col("yhat"))).alias("median")), "median")
 
 
+@query("published_strict", f"""{_MASE} SELECT sid, round(mase, 6) AS mase, length(sid)::DOUBLE AS ref, round(100 * (mase - length(sid)) / length(sid), 4) AS dev_pct FROM ship_a""")
+def published_strict(spark, d):
+    """Every series has a published score, or the join raises."""
+    s = ship(spark, d)
+    published = s.select("sid").distinct().withColumn("ref", F.length("sid").cast("double"))
+    return rounded(rounded(C.against_published(_mase(s), published, strict=True), "mase"), "dev_pct", digits=4)
+
+
+@query("closest_score", f"""{_MASE}, al AS (SELECT 'naive' AS model, sid, mase FROM ship_a UNION ALL SELECT 'half', sid, mase / 2 FROM ship_a)
+    SELECT sid, model, round(mase, 6) AS mase, round(100 * (mase - 0.9) / 0.9, 4) AS dev_pct FROM al QUALIFY row_number() OVER (PARTITION BY sid ORDER BY abs(mase - 0.9), model) = 1""")
+def closest_score(spark, d):
+    """Of several runs of a model the one whose score is closest to the published 0.9."""
+    s = _mase(ship(spark, d))
+    runs = s.select("sid", F.lit("naive").alias("model"), "mase").union(s.select("sid", F.lit("half"), F.col("mase") / 2))
+    runs = runs.withColumn("dev_pct", X.deviation_pct(F.col("mase"), F.lit(0.9)))
+    return rounded(rounded(V.best_row(runs, ["sid"], F.col("dev_pct")), "mase"), "dev_pct", digits=4)
+
+
+@query("forecast_equivalence", f"""{_MASE}, y2 AS (SELECT sid, step, yhat * (1 + 0.0001 * (step % 3)) AS yhat FROM ship_y),
+    a2 AS (SELECT t.sid, avg(abs(t.v - y.yhat)) / nullif(any_value(e.err), 0) AS mase FROM ship_s t JOIN y2 y ON y.sid = t.sid AND y.step = t.step JOIN ship_e e ON e.sid = t.sid WHERE t.part = 'target' GROUP BY t.sid),
+    p AS (SELECT count(*) AS points, median(abs(a.yhat - b.yhat) / greatest(abs(a.yhat), 1e-8)) AS median_rel, quantile_cont(abs(a.yhat - b.yhat) / greatest(abs(a.yhat), 1e-8), 0.95) AS p95_rel,
+        max(abs(a.yhat - b.yhat) / greatest(abs(a.yhat), 1e-8)) AS max_rel, max(abs(a.yhat - b.yhat)) AS max_abs FROM ship_y a JOIN y2 b USING (sid, step)),
+    m AS (SELECT (SELECT avg(mase) FROM ship_a) AS a, (SELECT avg(mase) FROM a2) AS b)
+    SELECT points, round(median_rel, 8) AS median_rel, round(p95_rel, 8) AS p95_rel, round(max_rel, 8) AS max_rel, round(max_abs, 4) AS max_abs, round(a, 6) AS mase_a, round(b, 6) AS mase_b, round(100 * abs(b - a) / a, 6) AS mase_diff_pct,
+        median_rel < 0.001 AND 100 * abs(b - a) / a < 0.5 AS equivalent FROM p, m""")
+def forecast_equivalence(spark, d):
+    """Seasonal-naive forecasts against a copy that is off by up to two in ten thousand."""
+    split, naive, errors = _scored(ship(spark, d))
+    other = naive.withColumn("yhat", F.col("yhat") * (1 + F.lit(0.0001) * (F.col("step") % 3)))
+    out = C.equivalence(split, naive, other, errors)
+    return rounded(rounded(rounded(out, "median_rel", "p95_rel", "max_rel", digits=8), "max_abs", digits=4), "mase_a", "mase_b", "mase_diff_pct")
+
+
+@query("customer_backtest", """WITH o AS (SELECT o_custkey::VARCHAR AS sid, o_orderkey, o_orderdate, o_totalprice AS v FROM orders),
+    p AS (SELECT sid, v, row_number() OVER (PARTITION BY sid ORDER BY o_orderdate, o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY sid) AS n FROM o),
+    e AS (SELECT sid, avg(abs(v - u)) AS err, count(*) + 1 AS k FROM (SELECT sid, pos, n, v, lag(v) OVER (PARTITION BY sid ORDER BY pos) AS u FROM p) WHERE pos < n - 2 AND pos > 0 GROUP BY 1),
+    t AS (SELECT a.sid, avg(abs(a.v - b.v)) AS mae FROM p a JOIN p b ON b.sid = a.sid AND b.pos = a.n - 3 WHERE a.pos >= a.n - 2 GROUP BY 1)
+    SELECT t.sid, round(mae / nullif(err, 0), 6) AS mase FROM t LEFT JOIN e USING (sid)""")
+def customer_backtest(spark, d):
+    """A backtest of many short series: the last two orders of each customer from the one before them."""
+    o = table(spark, d, "orders")
+    # orders of one day follow their keys
+    ts = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey"))
+    rows = o.select(F.col("o_custkey").cast("string").alias("sid"), ts.alias("ts"), F.col("o_totalprice").cast("double").alias("v"))
+    return rounded(_mase(rows, 1, 2, -2), "mase")
+
+
+@query("split_by_config", f"""WITH {SQL_SHIP}, {SQL_EV}, al AS (SELECT * FROM ship UNION ALL SELECT * FROM ev), {sql_pos('al')}, c AS (SELECT * FROM (VALUES ('ship_day', -28, 14), ('ev_hour', -48, 24)) t(name, o, h))
+    SELECT sid, CASE WHEN pos < n + o THEN 'past' ELSE 'target' END AS part, CASE WHEN pos < n + o THEN pos ELSE pos - (n + o) END AS step, v FROM al_p JOIN c ON name = split_part(sid, ':', 1) WHERE n + o > 0 AND pos < n + o + h""")
+def split_by_config(spark, d):
+    configs = spark.createDataFrame([("ship_day", -28, 14), ("ev_hour", -48, 24)], "name string, offset int, h int")
+    return W.split_by_config(ship(spark, d).union(ev(spark, d)), configs, F.split("sid", ":")[0])
+
+
+@query("nested_windows", """WITH x AS (SELECT vec_id::VARCHAR AS sid, (i - 1)::INTEGER AS dimension, embedding[(i - 1) * 16 + 1 : i * 16] AS x FROM embeddings, range(1, 3) r(i)), c AS (SELECT least(greatest(ceil(0.1 * min(len(x)) / 1), 1), 20)::INTEGER AS w FROM x),
+    e AS (SELECT sid, dimension, i::INTEGER AS window_index, x, len(x) - (w - i) AS s FROM x, c, range(0, 20) r(i) WHERE i < w)
+    SELECT sid, dimension, window_index, s::INTEGER AS n_past, round(x[s + 1]::DOUBLE, 6) AS target FROM e WHERE s > 0""")
+def nested_windows(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("sid"), F.array(*[F.slice("embedding", 16 * i + 1, 16) for i in range(2)]).alias("target"))
+    w = W.nested_windows(e, 1)
+    return rounded(w.select("sid", "dimension", "window_index", F.size("past").alias("n_past"), F.element_at("target", 1).cast("double").alias("target")), "target")
+
+
+@query("context_factor", "SELECT n_nationkey AS trained, round(greatest(1.0, (512 + 24) / (n_nationkey * 32 + 32)), 6) AS factor FROM nation")
+def context_factor(spark, d):
+    t = table(spark, d, "nation").select(F.col("n_nationkey").alias("trained"))
+    return rounded(t.withColumn("factor", X.context_factor(F.lit(512), F.lit(24), F.col("trained") * 32 + 32)), "factor")
+
+
+@query("match_declared", f"WITH {SQL_EV}, {_PROFILE}, dl AS (SELECT 'copy' AS query, sid FROM s WHERE rk = 1 UNION ALL SELECT 'rescaled', sid FROM s WHERE rk = 1) SELECT query, sid, min(rms) <= 0.05 AS is_match FROM pr JOIN dl USING (query, sid) GROUP BY 1, 2 HAVING min(rms) <= 0.25")
+def match_declared(spark, d):
+    """Only declared pairs are searched: the copy in its own series, the rescaled copy where it isn't."""
+    first = ev(spark, d).agg(F.min("sid").alias("sid"))
+    pairs = first.select(F.explode(F.array(F.lit("copy"), F.lit("rescaled"))).alias("query"), "sid")
+    found = D.matches(_queries(spark, d), ev(spark, d), pairs)
+    return found.groupBy("query", "sid").agg((F.min("rms") <= D.MATCH).alias("is_match"))
+
+
 def _forecaster(name):
     def run(spark, d):
         w = W.as_arrays(W.split_fixed(S.tail(ship(spark, d), 256).select("sid", "ts", "v"), -H, H), ["sid"])

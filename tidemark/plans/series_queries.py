@@ -148,9 +148,9 @@ def task_windows(spark, d):
 
 
 @query("nested_dimensions", """SELECT vec_id::VARCHAR AS sid, (i - 1)::INTEGER AS dimension, len(part) AS n, round(list_sum(list_transform(part, lambda x: x::DOUBLE)), 6) AS total
-    FROM (SELECT vec_id, i, embedding[(i - 1) * 8 + 1 : i * 8] AS part FROM embeddings, range(1, 5) r(i) WHERE vec_id < 100)""")
+    FROM (SELECT vec_id, i, embedding[(i - 1) * 8 + 1 : i * 8] AS part FROM embeddings, range(1, 5) r(i))""")
 def nested_dimensions(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").cast("string").alias("id"), F.array(*[F.slice("embedding", 8 * i + 1, 8) for i in range(4)]).alias("target"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.array(*[F.slice("embedding", 8 * i + 1, 8) for i in range(4)]).alias("target"))
     p = S.dimensions(e, "id", "target")
     return rounded(p.select("sid", "dimension", F.size("values").cast("bigint").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
 
@@ -216,3 +216,26 @@ def latest_snapshot(spark, d):
     SELECT sid, {TS} AS ts, v FROM ev_g JOIN b USING (sid, segment_number)""")
 def longest_run(spark, d):
     return S.longest_run(ev(spark, d)).select("sid", stamp("ts"), "v")
+
+
+@query("metadata_merge", f"""WITH {SQL_EV}, m AS (SELECT DISTINCT sid, unnest(['unit', 'source', 'parent_series_id']) AS key FROM ev)
+    SELECT sid, key, CASE key WHEN 'unit' THEN 'value' WHEN 'source' THEN 'table' ELSE sid END AS value FROM m""")
+def metadata_merge(spark, d):
+    old = F.create_map(F.lit("unit"), F.lit("value"), F.lit("source"), F.lit("none"))
+    new = F.create_map(F.lit("source"), F.lit("table"), F.lit("parent_series_id"), F.col("sid"))
+    each = ev(spark, d).select("sid").distinct().select("sid", F.explode(S.merged_metadata(old, new)).alias("key", "value"))
+    return each
+
+
+@query("segment_metadata", f"""WITH {SQL_EV}, {sql_segments('ev', 12)}, g AS (SELECT DISTINCT sid, segment_number, segments_found FROM ev_g), k AS (SELECT *, unnest(['unit', 'parent_series_id', 'segment_number', 'segments_found']) AS key FROM g)
+    SELECT sid || '#s' || segment_number AS sid, key, CASE key WHEN 'unit' THEN 'value' WHEN 'parent_series_id' THEN sid WHEN 'segment_number' THEN segment_number::VARCHAR ELSE segments_found::VARCHAR END AS value FROM k""")
+def segment_metadata(spark, d):
+    e = ev(spark, d)
+    metadata = e.select("sid").distinct().withColumn("metadata", F.create_map(F.lit("unit"), F.lit("value")))
+    return S.segment_metadata(S.segment_table(e, 12), metadata).select("sid", F.explode("metadata").alias("key", "value"))
+
+
+@query("drop_missing", f"WITH {SQL_ORD}, k AS (SELECT sid, ts, nullif(v, round(v / 2) * 2) AS v FROM ord) SELECT sid, {TS} AS ts, v FROM (SELECT *, count(*) OVER (PARTITION BY sid) AS n FROM k WHERE v IS NOT NULL) WHERE n >= 5")
+def drop_missing(spark, d):
+    o = ord_(spark, d)
+    return S.drop_missing(o.withColumn("v", F.nullif("v", F.round(F.col("v") / 2) * 2)), 5).select("sid", stamp("ts"), "v")
