@@ -13,7 +13,7 @@ instead: several tables of shorter fingerprints give candidates by the same ball
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -100,6 +100,17 @@ def _leaves(value: np.ndarray, owner: np.ndarray, left: np.ndarray, bits: int) -
         yield from _leaves(np.where(same, value, value ^ bit)[stay], owner[stay], (left - ~same)[stay], bits - 1)
 
 
+def _variants(value: np.ndarray, owner: np.ndarray, left: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All variants of each value within the flips it has left, and whose they are."""
+    variants, owners = [], []
+    for k in range(int(left.max()) + 1):
+        at = np.flatnonzero(left == k)
+        masks = _masks(bits, k)
+        variants.append((value[at][:, None] ^ masks[None, :]).ravel())
+        owners.append(np.repeat(owner[at], len(masks)))
+    return np.concatenate(variants), np.concatenate(owners)
+
+
 class _Union:
     """Union by least member over positions."""
 
@@ -118,28 +129,18 @@ class _Union:
             self.up[max(x, y)] = min(x, y)
 
 
-def collide(fps: np.ndarray, prefix: int, bits: int, radius: int, width: int = 64, forest: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the fingerprints whose variants start with the ``bits`` bits of ``prefix``.
-
-    With ``forest`` each is linked to the least one that it reaches; else to the least one of each variant it shares.
-    """
+def collide(fps: np.ndarray, prefix: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, least linked one) among those whose variants start with the ``bits`` bits of ``prefix``."""
     fps = np.unique(fps)
     half = radius // 2
-    low = width - bits
+    low = 64 - bits
     apart = np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(prefix)).astype(np.int64) if bits else np.zeros(len(fps), np.int64)
     near = apart <= half
     fps, left = fps[near], half - apart[near]
     value = fps & np.uint64((1 << low) - 1)
-    union, direct = _Union(len(fps)), [np.zeros(0, np.int64)]
+    union = _Union(len(fps))
     for v, o, r, b in _leaves(value, np.arange(len(fps)), left, low):
-        variants, owners = [], []
-        for k in range(half + 1):
-            at = np.flatnonzero(r == k)
-            if len(at):
-                masks = _masks(b, k)
-                variants.append((v[at][:, None] ^ masks[None, :]).ravel())
-                owners.append(np.repeat(o[at], len(masks)))
-        variant, who = np.concatenate(variants), np.concatenate(owners)
+        variant, who = _variants(v, o, r, b)
         order = np.argsort(variant, kind="stable")
         variant, who = variant[order], who[order]
         again = np.flatnonzero(variant[1:] == variant[:-1]) + 1
@@ -150,66 +151,58 @@ def collide(fps: np.ndarray, prefix: int, bits: int, radius: int, width: int = 6
         pairs = np.unique(head * len(fps) + who[again])
         x, y = pairs // len(fps), pairs % len(fps)
         good = np.bitwise_count(fps[x] ^ fps[y]) <= radius
-        if not forest:
-            direct.append(pairs[good])
-            continue
         for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True):
             union.join(i, j)
-    if not forest:
-        pairs = np.unique(np.concatenate(direct))
-        return fps[pairs % max(1, len(fps))], fps[pairs // max(1, len(fps))]
     root = np.array([union.find(i) for i in range(len(fps))], np.int64)
     moved = np.flatnonzero(root != np.arange(len(fps)))
     return fps[moved], fps[root[moved]]
 
 
-def links(fps: DataFrame, radius: int = 4, width: int = 64, forest: bool = True) -> DataFrame:
-    """(t, a, b): enough links between the distinct fingerprints ``fp`` of each table ``t`` to give the components at ``radius`` bits.
+def _by_key(stream: Iterator[pa.RecordBatch], done: Callable[[int, list[bytes]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, body) in the order of the key: what ``done`` makes of all bodies of each key."""
+    now, bodies = None, []
+    for batch in stream:
+        for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if key != now:
+                if bodies:
+                    yield done(now, bodies)
+                now, bodies = key, []
+            bodies.append(body)
+    if bodies:
+        yield done(now, bodies)
+
+
+def links(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b): enough links between the distinct fingerprints ``fp`` to give the components at ``radius`` bits.
 
-    Without ``forest`` the links are each one's with the least fingerprint of every variant that it shares, all within
-    ``radius``. Without a column ``t`` all are of table 0. Fingerprints have ``width`` bits. ``radius`` is even: half of it is the ball that each fingerprint
-    stands for. The number of leading bits follows the number of fingerprints, so that partitions stay of one size
-    however many there are.
+    ``radius`` is even: half of it is the ball that each fingerprint stands for. The number of leading bits follows the
+    number of fingerprints, so that partitions stay of one size however many there are.
     """
     if radius % 2:
         raise ValueError("radius must be even")
     half = radius // 2
-    ball = sum(comb(width, i) for i in range(half + 1))
-    n = fps.count()
-    bits = min(24, max(4, (n * ball // PART_VARIANTS).bit_length()))
+    ball = sum(comb(64, i) for i in range(half + 1))
+    bits = min(24, max(4, (fps.count() * ball // PART_VARIANTS).bit_length()))
     spread = _masks(bits, half)
 
     def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            table, fp = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy().view(np.uint64)
+            fp = batch.column(0).to_numpy().view(np.uint64)
             if not len(fp):
                 continue
-            prefix = ((table << np.uint64(bits))[:, None] | ((fp >> np.uint64(width - bits))[:, None] ^ spread[None, :])).ravel()
+            prefix = ((fp >> np.uint64(64 - bits))[:, None] ^ spread[None, :]).ravel()
             order = np.argsort(prefix, kind="stable")
             prefix, value = prefix[order], np.repeat(fp, len(spread))[order]
             first = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
             parts = [x.tobytes() for x in np.split(value, first[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(prefix[first].astype(np.int64)), pa.array(parts, pa.binary())], names=["prefix", "body"])
 
-    def matched(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(prefix: int, bodies: list[bytes]) -> pa.RecordBatch:
-            a, b = collide(np.frombuffer(b"".join(bodies), np.uint64), prefix & ((1 << bits) - 1), bits, radius, width, forest)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), prefix >> bits, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["t", "a", "b"])
-
-        now, bodies = None, []
-        for batch in stream:
-            for prefix, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if prefix != now:
-                    if bodies:
-                        yield done(now, bodies)
-                    now, bodies = prefix, []
-                bodies.append(body)
-        if bodies:
-            yield done(now, bodies)
+    def done(prefix: int, bodies: list[bytes]) -> pa.RecordBatch:
+        a, b = collide(np.frombuffer(b"".join(bodies), np.uint64), prefix, bits, radius)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    rows = fps.select((F.col("t") if "t" in fps.columns else F.lit(0)).cast("int").alias("t"), "fp")
-    dealt = rows.mapInArrow(deal, "prefix long, body binary").repartition("prefix").sortWithinPartitions("prefix")
-    return dealt.mapInArrow(matched, "t int, a long, b long")
+    dealt = fps.select("fp").mapInArrow(deal, "prefix long, body binary").repartition("prefix").sortWithinPartitions("prefix")
+    return dealt.mapInArrow(lambda stream: _by_key(stream, done), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -261,6 +254,133 @@ def table_fingerprints(shingles: np.ndarray, width: int, tables: int) -> np.ndar
     return np.packbits(padded, axis=1, bitorder="little").view("<u8").ravel()
 
 
+#: Variants of one table that a part of ``candidates`` holds, about: its task takes some twenty seconds, whatever the input.
+PART_TABLE_VARIANTS = 256_000_000
+#: Share of all fingerprint bits up to which a candidate is verified: five deviations beyond the least similarity.
+MOST_APART = 0.265
+#: Rounds that look again around pairs which meet but aren't alike, each in another order.
+ROUNDS = 4
+
+
+def _meetings(fps: np.ndarray, prefix: int, bits: int, radius: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``fps`` by shared variant, group after group, with where each group starts and its size; groups of one are left out."""
+    low = width - bits
+    left = radius // 2 - np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(prefix)).astype(np.int64)
+    for v, o, r, b in _leaves(fps & np.uint64((1 << low) - 1), np.arange(len(fps)), left, low):
+        variant, who = _variants(v, o, r, b)
+        order = np.argsort(variant)
+        variant, who = variant[order], who[order]
+        again = np.concatenate(([False], variant[1:] == variant[:-1]))
+        again[:-1] |= again[1:]
+        variant, who = variant[again], who[again]
+        if len(who):
+            first = np.flatnonzero(np.concatenate(([True], variant[1:] != variant[:-1])))
+            yield who, first, np.diff(np.concatenate((first, [len(who)])))
+
+
+def attached(fps: np.ndarray, nodes: np.ndarray, prefix: int, bits: int, radius: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each node with the least node whose ball shares a variant with its own, among variants that start with ``prefix``.
+
+    Nodes of one fingerprint are linked to the least of them, which stands for them all.
+    """
+    order = np.lexsort((nodes, fps))
+    fps, nodes = fps[order], nodes[order]
+    new = np.concatenate(([True], fps[1:] != fps[:-1]))
+    rep = nodes[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    # only the part that a fingerprint itself belongs to tells of its equals
+    same = ~new & ((fps >> np.uint64(width - bits)) == np.uint64(prefix))
+    out = [(nodes[same], rep[same])]
+    fps, nodes = fps[new], nodes[new]
+    order = np.argsort(nodes)
+    fps, nodes = fps[order], nodes[order]
+    least = np.arange(len(fps))
+    for who, first, size in _meetings(fps, prefix, bits, radius, width):
+        np.minimum.at(least, who, np.repeat(np.minimum.reduceat(who, first), size))
+    moved = least < np.arange(len(fps))
+    out.append((nodes[moved], nodes[least[moved]]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def across(fps: np.ndarray, nodes: np.ndarray, roots: np.ndarray, seed: int, prefix: int, bits: int, radius: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each node with one of another root whose ball shares a variant with its own: the first in an order drawn by ``seed``."""
+    order = np.lexsort((nodes, roots, fps))
+    order = order[np.concatenate(([True], (fps[order][1:] != fps[order][:-1]) | (roots[order][1:] != roots[order][:-1])))]
+    order = order[np.argsort(_again(nodes[order].astype(np.uint64), seed), kind="stable")]
+    fps, nodes, roots = fps[order], nodes[order], roots[order]
+    none = len(fps)
+    best = np.full(none, none)
+    for who, first, size in _meetings(fps, prefix, bits, radius, width):
+        one = np.repeat(np.minimum.reduceat(who, first), size)
+        other = np.where(roots[who] == roots[one], none, who)
+        two = np.repeat(np.minimum.reduceat(other, first), size)
+        np.minimum.at(best, who, np.where(roots[who] == roots[one], two, one))
+    found = np.flatnonzero(best < none)
+    return nodes[found], nodes[best[found]]
+
+
+def candidates(rows: DataFrame, many: int, width: int, tables: int, radius: int, seed: int | None = None) -> DataFrame:
+    """(a, b, n) with a > b: each node of ``rows`` (node, fps) with the least ones that it meets, and in how many parts.
+
+    With a ``seed`` the rows have a root as well, and a node is given partners of other roots, in an order drawn anew for
+    each table. ``many`` bounds nodes and roots, which count from 0. A fingerprint goes once to each leading part that
+    its variants have, in as many bytes as it and its node need. A node has one partner in a part at most, so links grow
+    with the rows and not with the squares of groups; and since the least node is the same in all tables, a group of
+    copies has few of them.
+    """
+    if radius % 2:
+        raise ValueError("radius must be even")
+    half = radius // 2
+    ball = sum(comb(width, i) for i in range(half + 1))
+    bits = min(24, max(4, (many * ball // PART_TABLE_VARIANTS).bit_length()))
+    spread = _masks(bits, half)
+    node_bytes = max(1, -(-max(1, many).bit_length() // 8))
+    sizes = [-(-width // 8), node_bytes, *([node_bytes] if seed is not None else [])]
+    ends = np.cumsum(sizes).tolist()
+
+    def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            fps = np.array(batch.column(0).to_pylist(), np.int64).view("<u8").ravel()
+            numbers = [np.repeat(c.to_numpy().astype("<u8"), tables) for c in batch.columns[1:]]
+            entry = np.concatenate([x.view(np.uint8).reshape(-1, 8)[:, :k] for x, k in zip([fps, *numbers], sizes, strict=True)], axis=1)
+            table = np.tile(np.arange(tables, dtype=np.uint64), batch.num_rows)
+            part = ((table << np.uint64(bits))[:, None] | ((fps >> np.uint64(width - bits))[:, None] ^ spread[None, :])).ravel()
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            bodies = [entry[x // len(spread)].tobytes() for x in np.split(order, first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int64)), pa.array(bodies, pa.binary())], names=["part", "body"])
+
+    def done(part: int, bodies: list[bytes]) -> pa.RecordBatch:
+        entry = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, ends[-1])
+        wide = np.zeros((len(sizes), len(entry), 8), np.uint8)
+        for k, (size, end) in enumerate(zip(sizes, ends, strict=True)):
+            wide[k, :, :size] = entry[:, end - size : end]
+        fps, *numbers = wide.view("<u8")[:, :, 0]
+        numbers, place = [x.astype(np.int64) for x in numbers], (part & ((1 << bits) - 1), bits, radius, width)
+        a, b = attached(fps, *numbers, *place) if seed is None else across(fps, *numbers, seed * tables + (part >> bits) + 1, *place)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    columns = ["fps", "node", *(["root"] if seed is not None else [])]
+    dealt = rows.select(*columns).mapInArrow(deal, "part long, body binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(lambda stream: _by_key(stream, done), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _numbered(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``rows``, which are at rest, numbered from 0 by partition; and how many there are. One number a partition reaches the driver."""
+    marked = cut(rows.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r["part"], r["n"]) for r in marked.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for k, n in sizes:
+        starts.append((k, total))
+        total += n
+    known = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    number = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return marked.join(known, part == F.col("_part")).withColumn(name, number).drop("_at", "_part", "_start"), total
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes that are alike on all their shingles; ``texts`` has (node, text)."""
     x, y = (texts.select(F.col("node").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
@@ -293,28 +413,51 @@ def _similar(rows: DataFrame, words: int, width: int, tables: int, radius: int)
 
     marked = cut(keyed.mapInArrow(run, "doc_id long, digest string, set binary, fps array<long>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
-    # equal sets are one node; its number is fixed by the cut
-    classes = cut(marked.groupBy("set").agg(first, F.first("fps").alias("fps")).select("set", "first", "fps", F.monotonically_increasing_id().alias("node")))
-    by_table = cut(classes.select("node", F.posexplode("fps").alias("t", "fp")))
-    # a fingerprint is known by the least node that has it
-    known = cut(by_table.groupBy("t", "fp").agg(F.min("node").alias("rep")))
-    same = by_table.join(known, ["t", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    end = lambda k: known.select("t", F.col("fp").alias(k), F.col("rep").alias(f"rep_{k}"))
-    near = links(known, radius, width, forest=False).join(end("a"), ["t", "a"]).join(end("b"), ["t", "b"]).select("rep_a", "rep_b")
-    pairs = same.union(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    pairs = cut(pairs.groupBy("a", "b").agg(F.count("*").alias("n")))
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("first.digest").alias("digest")), "node"))
-    few = F.broadcast(wanted) if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
-    texts = keyed.select("digest", "text").join(few, "digest").groupBy("node").agg(F.first("text").alias("text"))
+    # equal sets are one node
+    classes, many = _numbered(marked.groupBy("set").agg(first, F.first("fps").alias("fps")), "node")
+    end = lambda k, x: classes.select(F.col("node").alias(k), F.col("fps").alias(x))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Chance pairs agree in the bits of one table only, and are told by those of all."""
+        return cut(pairs.join(end("a", "x"), "a").join(end("b", "y"), "b").where(apart <= int(MOST_APART * width * tables)).select("a", "b", "n"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The text of each set that is asked for is fetched once, from any of the rows that have it."""
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("first.digest").alias("digest")), "node"))
+        few = F.broadcast(wanted) if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
+        texts = keyed.select("digest", "text").join(few, "digest").groupBy("node").agg(F.first("text").alias("text"))
+        return cut(_verified(pairs, texts, words))
+
+    def parted(pairs: DataFrame, root: DataFrame) -> DataFrame:
+        """Those of the pairs whose ends have different roots."""
+        at = lambda k: root.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+        both = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+        return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+    pairs = likely(candidates(classes, many, width, tables, radius))
     # each node's most frequent candidate first; the others only where that leaves two components
     best = cut(pairs.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("most")).select("a", (-F.col("most.b")).alias("b")))
-    edges = cut(_verified(best, texts, words))
-    root = connected_components(edges)
-    end = lambda k: root.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
-    rest = cut(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    edges = verified(best)
+    root = cut(connected_components(edges))
+    rest = cut(parted(pairs.join(best, ["a", "b"], "left_anti"), root))
     if not rest.isEmpty():
-        root = connected_components(cut(edges.union(_verified(rest, texts, words))))
+        edges = cut(edges.union(verified(rest)))
+        root = cut(connected_components(edges))
+    # a node's least partner may hide another that is alike: where pairs met in vain, look again in other orders
+    tested, vain = pairs.select("a", "b"), cut(parted(pairs, root))
+    for turn in range(1, ROUNDS + 1):
+        if vain.isEmpty():
+            break
+        around = vain.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        held = classes.select("node", "fps").join(around, "node").join(root, "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root"))
+        pairs = likely(candidates(held, many, width, tables, radius, seed=turn).join(tested, ["a", "b"], "left_anti"))
+        found = verified(pairs)
+        tested = cut(tested.union(pairs.select("a", "b")))
+        if not found.isEmpty():
+            edges = cut(edges.union(found))
+            root = cut(connected_components(edges))
+        vain = cut(parted(pairs, root))
     rooted = classes.select("set", "first", "node").join(root, "node", "left").select("set", "first", F.coalesce("root", "node").alias("root"))
     named = meet(rooted, rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("set", "least")
     found = marked.select("doc_id", "digest", "set").join(cut(named), "set")
