@@ -471,3 +471,62 @@ def test_a_missing_forecast_is_no_equivalence(spark):
     assert not C.equivalence(split, ours, ours.withColumn("yhat", F.col("yhat") + 1), errors).first().equivalent
     with pytest.raises(Exception, match="missing on one side"):
         C.equivalence(split, ours, ours.where("step = 0"), errors).collect()
+
+
+def test_content_hash_against_its_definition(spark):
+    import struct
+
+    values = [1.5, None, -0.0, 1e300]
+    want = hashlib.sha256(b"".join(struct.pack("<d", float("nan") if v is None else v) for v in values)).hexdigest()[:16]
+    assert S.content_hash(long(spark, values)).first().content_hash == want
+
+
+def test_regressions_against_plain_solutions():
+    rng = np.random.default_rng(7)
+    past, h, m = 20 + np.cumsum(rng.normal(size=60)), 9, 5
+    t = np.arange(69.0)
+    columns = [np.ones(69), t / 60]
+    for k in (1, 2, 3, 4, 5, 6, 7, 8):
+        columns += [np.sin(2 * np.pi * k * t / 24), np.cos(2 * np.pi * k * t / 24)]
+    x = np.stack(columns, 1)
+    want = x[60:] @ np.linalg.solve(x[:60].T @ x[:60], x[:60].T @ past)
+    assert P.FORECASTERS["harmonic"](past, h, 24) == pytest.approx(want, rel=1e-6)
+    rows = [[*(past[i - k] for k in range(1, m + 1)), 1.0] for i in range(m, 60)]
+    w = np.linalg.solve(np.array(rows).T @ np.array(rows), np.array(rows).T @ past[m:])
+    held = list(past)
+    for _ in range(h):
+        held.append(sum(w[k - 1] * held[-k] for k in range(1, m + 1)) + w[m])
+    assert P.FORECASTERS["ar"](past, h, m) == pytest.approx(held[60:], rel=1e-6)
+
+
+def test_fourier_surrogates_against_the_plain_iteration():
+    x = wave(64)
+    got, rounds, done = G.iaaft(x, "t|0", rounds=200)
+    draw = [int.from_bytes(hashlib.sha256(f"20260726|t|0|{i}".encode()).digest()[4:8], "big") for i in range(64)]
+    now = [x[i] for i in sorted(range(64), key=lambda i: draw[i])]
+    target, before = np.abs(np.fft.fft(x)), None
+    for k in range(1, 201):
+        f = np.fft.fft(now)
+        y = np.fft.ifft(target * f / np.abs(f)).real
+        rank = np.argsort(np.argsort(y, kind="stable"), kind="stable")
+        now = np.sort(x)[rank]
+        if before is not None and (rank == before).all():
+            break
+        before = rank
+    assert rounds == k and done and (got == now).all()
+
+
+def test_the_protocols_verdict_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = {"s:a": wave(64), "s:b": rng.normal(size=64)}
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], "sid string, x array<double>").withColumn("r", C.array_mase(F.col("x"), 6, 4))
+    got = {(r.sid, r.family): (r.p, r.g) for r in V.rank_members(G.ensembles(rows, ("iaaft", "block"), 4, 15).select("sid", "family", "r", C.array_mase(F.col("x"), 6, 4).alias("s")), ("sid", "family")).collect()}
+
+    def score(v):
+        past, target = v[:-6], v[-6:]
+        return np.abs(target - np.array([past[len(past) - 4 + t % 4] for t in range(6)])).mean() / np.abs(past[4:] - past[:-4]).mean()
+
+    for sid, v in x.items():
+        s = np.array([score(G.iaaft(v, f"iaaft|{sid}|{k}")[0]) for k in range(15)])
+        assert got[sid, "iaaft"] == (pytest.approx((1 + (s <= score(v)).sum()) / 16), pytest.approx((np.median(s) - score(v)) / np.median(s)))
+    assert len(got) == 4

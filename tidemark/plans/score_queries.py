@@ -436,8 +436,15 @@ def _forecaster(name):
     return run
 
 
-for _name, _key in (("harmonic", "harmonic_ols"), ("ar", "ar_ols"), ("ses", "ses_forecast"), ("theta", "theta_forecast")):
-    query(_key)(_forecaster(_name))
+_SMOOTHED = """sm AS (SELECT sid, k, list_reduce(list_transform(x, lambda v: {'v': v, 'l': v, 'c': 0.0::DOUBLE}), lambda s, e: {'v': e.v, 'l': s.l + (k / 20.0) * (e.v - s.l), 'c': s.c + (e.v - s.l) ** 2}) AS r FROM p, range(1, 21) g(k)),
+    lv AS (SELECT sid, r.l AS level FROM sm QUALIFY row_number() OVER (PARTITION BY sid ORDER BY r.c, k) = 1)"""
+_SES = f"""WITH {SQL_SHIP}, {_TAIL}, p AS (SELECT sid, list(v ORDER BY pos) AS x FROM tl_p WHERE pos < n - 14 GROUP BY 1), {_SMOOTHED}
+    SELECT sid, s.step::BIGINT AS step, round(level, 2) AS yhat FROM lv, range(0, 14) s(step)"""
+_THETA = f"""WITH {SQL_SHIP}, {_TAIL}, pt AS (SELECT sid, pos, n - 14 AS past, v FROM tl_p WHERE pos < n - 14), se AS (SELECT sid, pos % 7 AS ph, avg(v) - any_value(m) AS season FROM (SELECT *, avg(v) OVER (PARTITION BY sid) AS m FROM pt) GROUP BY 1, 2),
+    fl AS (SELECT pt.sid, pos, past, v - season AS f FROM pt JOIN se ON se.sid = pt.sid AND se.ph = pt.pos % 7), p AS (SELECT sid, list(f ORDER BY pos) AS x, any_value(past) AS past, regr_slope(f, pos) AS slope FROM fl GROUP BY 1), {_SMOOTHED}
+    SELECT p.sid, s.step::BIGINT AS step, round(level + slope / 2 * (s.step + 1) + season, 2) AS yhat FROM p JOIN lv USING (sid), range(0, 14) s(step), se WHERE se.sid = p.sid AND se.ph = (p.past + s.step) % 7"""
+for _name, _key, _sql in (("harmonic", "harmonic_ols", None), ("ar", "ar_ols", None), ("ses", "ses_forecast", _SES), ("theta", "theta_forecast", _THETA)):
+    query(_key, _sql)(_forecaster(_name))
 
 
 @query("frozen_inputs", f"""{_MASE}, c AS (SELECT sid, list(v ORDER BY step) AS p FROM ship_s WHERE part = 'past' GROUP BY 1), t AS (SELECT sid, count(*) AS horizon, sum(v) AS total FROM ship_s WHERE part = 'target' GROUP BY 1)
