@@ -530,3 +530,10 @@ def test_the_protocols_verdict_against_numpy(spark):
         s = np.array([score(G.iaaft(v, f"iaaft|{sid}|{k}")[0]) for k in range(15)])
         assert got[sid, "iaaft"] == (pytest.approx((1 + (s <= score(v)).sum()) / 16), pytest.approx((np.median(s) - score(v)) / np.median(s)))
     assert len(got) == 4
+
+
+def test_a_family_of_ones_own(spark, monkeypatch):
+    monkeypatch.setitem(G.FAMILIES, "reversed", lambda series, m, k: G.members(series, k).withColumn("x", F.reverse("x")))
+    got = G.ensembles(G.held(long(spark, range(5))), ("reversed", "single"), 2, 2).collect()
+    assert sorted((r.family, r.k) for r in got) == [("reversed", 0), ("reversed", 1), ("single", 0), ("single", 1)]
+    assert all(r.x == [4.0, 3.0, 2.0, 1.0, 0.0] for r in got if r.family == "reversed")

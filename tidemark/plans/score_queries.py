@@ -13,6 +13,7 @@ from ..operators import series as S
 from ..operators import statistics as V
 from ..operators import surrogates as G
 from ..operators import windows as W
+from ..sources import tables
 from .inputs import SQL_EV, SQL_ORD, SQL_SHIP, ev, ord_, rounded, ship, sql_mase, sql_pos, sql_segments, sql_split, stamp, table
 from .series_queries import query
 
@@ -459,3 +460,29 @@ def frozen_inputs(spark, d):
 @query("order_segments", f"WITH {SQL_ORD}, {sql_segments('ord', 12)} SELECT sid, segment_number, segments_found, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS n FROM ord_g GROUP BY 1, 2, 3")
 def order_segments(spark, d):
     return S.segment_table(ord_(spark, d), 12).select("sid", "segment_number", "segments_found", stamp("start"), stamp("end"), "n")
+
+
+@query("recall_gate", "SELECT user_id % 10 AS planted, count(*) AS n, count(*) FILTER (event_id % 8 > 0) AS matched, count(*) FILTER (event_id % 8 > 0) >= floor(0.9 * count(*)) AS pass FROM events GROUP BY 1")
+def recall_gate(spark, d):
+    e = table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("planted")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_id") % 8 > 0).alias("matched"))
+    return e.withColumn("pass", D.passes_gate(F.col("matched"), F.col("n")))
+
+
+@query("frozen_scan", f"{_SPLIT}, a AS (SELECT sid, list(v ORDER BY step) FILTER (part = 'past') AS p, list(v ORDER BY step) FILTER (part = 'target') AS t FROM ship_s GROUP BY 1) SELECT sid, 64::BIGINT AS context, 14::BIGINT AS horizon, round(list_sum(p[-64:]), 2) AS total FROM a")
+def frozen_scan(spark, d):
+    """Frozen inputs are read back only in the shape that they were frozen in."""
+    w = W.as_arrays(W.split_fixed(ship(spark, d), OFFSET, H), ["sid"]).withColumn("context", F.slice("past", -64, 64))
+    f = tables.frozen(w, 64, H)
+    total = F.aggregate("context", F.lit(0.0), lambda a, x: a + x)
+    return rounded(f.select("sid", F.size("context").cast("bigint").alias("context"), F.size("target").cast("bigint").alias("horizon"), total.alias("total")), "total", digits=2)
+
+
+@query("corpus_hits", f"""WITH {SQL_EV}, {_PROFILE}, h AS (SELECT sid, query, rms FROM (SELECT query, sid, min(rms) AS rms FROM pr GROUP BY 1, 2) WHERE rms <= 0.25), z AS (SELECT sid AS subset, count(*)::DOUBLE AS mb FROM ev GROUP BY 1)
+    SELECT subset, mb, CASE WHEN mb > 690 THEN 'skipped_size' WHEN count(query) > 0 THEN 'hits' ELSE 'clean' END AS status, count(query)::BIGINT AS n_hits FROM z LEFT JOIN h ON h.sid = z.subset GROUP BY 1, 2""")
+def corpus_hits(spark, d):
+    """Each series as a part of a corpus, with what was found in it; parts over the size are said to be left out."""
+    q, found = _found(spark, d)
+    best = found.groupBy("query", "sid").agg(F.min("rms").alias("rms")).withColumn("subset", F.col("sid"))
+    subsets = ev(spark, d).groupBy(F.col("sid").alias("subset")).agg(F.count(F.lit(1)).cast("double").alias("mb"))
+    status = D.corpus_status(subsets, 690.0, best)
+    return status.select("subset", "mb", "status", F.coalesce(F.size("hits"), F.lit(0)).cast("bigint").alias("n_hits"))

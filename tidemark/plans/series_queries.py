@@ -239,3 +239,37 @@ def segment_metadata(spark, d):
 def drop_missing(spark, d):
     o = ord_(spark, d)
     return S.drop_missing(o.withColumn("v", F.nullif("v", F.round(F.col("v") / 2) * 2)), 5).select("sid", stamp("ts"), "v")
+
+
+def _sequences(spark, d):
+    """Each vector as an item with two sequences of hourly values."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("x"))
+    times = F.transform(F.sequence(F.lit(0), F.size("x") - 1), lambda i: F.timestamp_seconds(i * 3600))
+    return e.select("item_id", times.alias("timestamp"), "x", F.reverse("x").alias("y"))
+
+
+@query("sequence_scan", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), s AS (SELECT vec_id || ':x' AS sid, x FROM e UNION ALL SELECT vec_id || ':y', list_reverse(x) FROM e)
+    SELECT sid, len(x)::BIGINT AS n, round(x[1], 6) AS first, round(x[len(x)], 6) AS last FROM s""")
+def sequence_scan(spark, d):
+    rows = tables.read_sequences(_sequences(spark, d))
+    out = rows.groupBy("sid").agg(F.count("v").alias("n"), F.min_by("v", "ts").alias("first"), F.max_by("v", "ts").alias("last"))
+    return rounded(out, "first", "last")
+
+
+@query("long_frame", f"""WITH e AS (SELECT vec_id::VARCHAR AS sid, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings)
+    SELECT sid, {STAMP.format("to_timestamp(i * 3600)::TIMESTAMP")} AS ts, round(CASE WHEN i % 7 = 0 THEN NULL ELSE x::DOUBLE END, 6) AS v FROM e""")
+def long_frame(spark, d):
+    """Parallel arrays as rows; every seventh value is NaN, which becomes NULL."""
+    e = _sequences(spark, d).withColumn("x", F.transform("x", lambda v, i: F.when(i % 7 == 0, F.lit(float("nan"))).otherwise(v)))
+    rows = S.zipped(e, "item_id", "timestamp", "x")
+    return rounded(S.canonical(rows, F.col("sid"), F.col("ts"), F.col("v")).select("sid", stamp("ts"), "v"), "v")
+
+
+@query("guarded_scores", f"WITH {SQL_SHIP} SELECT 'ship_day' AS dataset, round(avg(v), 2) AS mean, NULL::VARCHAR AS error FROM ship UNION ALL SELECT 'broken', NULL, 'no such dataset'")
+def guarded_scores(spark, d):
+    def score(name):
+        if name == "broken":
+            raise ValueError("no such dataset")
+        return rounded(ship(spark, d).agg(F.avg("v").alias("mean")), "mean", digits=2)
+
+    return T.guarded(spark, ["ship_day", "broken"], score).select("dataset", "mean", "error")
