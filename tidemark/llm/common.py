@@ -57,6 +57,12 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_i
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
 
 
+def few_rows(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, so that only a few of its texts are Python objects at a time."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def blobs(column: pa.Array) -> list[bytes]:
     """The values of a string or binary column as bytes; null counts as empty."""
     if pa.types.is_string(column.type):

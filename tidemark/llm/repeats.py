@@ -15,6 +15,10 @@ sorted again; a window that is alone drops out. Groups left at the depth limit a
 Copies within a map task meet there: one of them stands for all in the shuffle, so a passage that a third of all
 documents share reaches a reducer once per task.
 
+An anchor inside a line that very many documents have, each in other surroundings, would put all its windows on one
+reducer. Anchors are counted where they are compared, and the windows of such a one are dealt out by what they cover beside it:
+a few places in the window at a time, by the bytes that all windows with these places have.
+
 A document is known by a 128-bit digest of its id and its text. Rows equal in both have equal results; of those in one
 task, all but the first are settled on the spot, for each is a copy of the first.
 """
@@ -36,6 +40,8 @@ INNER, GROUP_DOCS, GROUP_BYTES, CHUNK = 100, 256, 4 << 20, 400_000
 #: Bytes of text whose anchors and windows meet in one reducer, which holds up to five times as many at once; anchors
 #: that a map task gathers before it sends them on.
 ROUTE_BYTES, TASK_ANCHORS = 32 << 20, 1_000_000
+#: Occurrences from which an anchor's windows are dealt out by their places, and how many places go together.
+HOT, PLACES = 8_000, 10
 
 _rng = np.random.default_rng(7)
 _LETTERS = _rng.integers(0, 2**64, 256, np.uint64)
@@ -107,6 +113,7 @@ def anchors(texts: list[bytes], length: int, inner: int) -> tuple[np.ndarray, ..
 
 _CAND = (("k0", "<u8"), ("k1", "<u8"), ("start", "<i4"), ("n", "<u1"), ("lead", "<u1"), ("h", "<u8"))
 _REGION = (*_CAND, ("again", "<u1"))
+_HELD = (("h", "<u8"), ("g", "<i8"), ("many", "<u4"))
 _SPAN = (("k0", "<u8"), ("k1", "<u8"), ("start", "<i4"), ("end", "<i4"))
 
 
@@ -217,12 +224,36 @@ def _spread(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), row
 
 
+def _by_places(columns: dict[str, np.ndarray], hot: np.ndarray, bodies: list[bytes], length: int, inner: int) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    """Anchors ``hot`` cut into runs of ``PLACES`` places, each under a hash of the bytes that all its windows cover.
+
+    ``bodies`` has the document of each row. An anchor that stands p bytes after a window's start does so in all equal
+    windows, so they fall into one run, and they have its bytes.
+    """
+    out: list[tuple] = []
+    texts: list[bytes] = []
+    for i in np.flatnonzero(hot).tolist():
+        start, n, lead = int(columns["start"][i]), int(columns["n"][i]), int(columns["lead"][i])
+        at = start + lead
+        for low in range(0, length - inner + 1, PLACES):
+            high = low + PLACES - 1
+            first, last = max(low, lead - n + 1), min(high, lead)
+            if first <= last:
+                held = bodies[i][max(0, at - low) : at - high + length]
+                name = hashlib.blake2b(held, digest_size=8, salt=low.to_bytes(4, "little")).digest()
+                out.append((columns["k0"][i], columns["k1"][i], at - last, last - first + 1, last, int.from_bytes(name, "little")))
+                texts.append(bodies[i])
+    rest = np.flatnonzero(~hot)
+    made = {k: np.array([x[j] for x in out], t) for j, (k, t) in enumerate(_CAND)}
+    return {k: np.concatenate([columns[k][rest], made[k]]) for k, _ in _CAND}, [bodies[i] for i in rest.tolist()] + texts
+
+
 def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     kinds = {"route": pa.int32(), "kind": pa.int32(), "g": pa.int64(), "body": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for k, c in zip(names, zip(*rows, strict=True), strict=True)], names=list(names))
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group_docs: int = GROUP_DOCS, route_bytes: int = ROUTE_BYTES, task_anchors: int = TASK_ANCHORS, chunk: int = CHUNK) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group_docs: int = GROUP_DOCS, route_bytes: int = ROUTE_BYTES, task_anchors: int = TASK_ANCHORS, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept, spans.
 
     ``kept`` is what is left of the bytes, ``spans`` the removed runs as (start, end).
@@ -245,6 +276,14 @@ def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group
             again, first = _repeated(c["h"])
             known = _take(c, np.flatnonzero(again))
             out = [(g % routes, 1, g, x) for g, x in _dealt(known, _CAND, _groups(known, groups))]
+            # how often each of them stands in each group; one that nearly all groups have is named once for all
+            if len(known["h"]):
+                pair, many = np.unique(np.stack([known["h"], _groups(known, groups).astype(np.uint64)], 1), axis=0, return_counts=True)
+                names, at = np.unique(pair[:, 0], return_inverse=True)
+                total = np.bincount(at, many, len(names))
+                wide = total[at] >= hot
+                held_by = {"h": np.concatenate([pair[~wide, 0], names[total >= hot]]), "g": np.concatenate([pair[~wide, 1].astype(np.int64), np.full((total >= hot).sum(), -1)]), "many": np.concatenate([many[~wide], total[total >= hot]])}
+                out += [(r, 2, 0, x) for r, x in _dealt(held_by, _HELD, (held_by["h"] % np.uint64(routes)).astype(np.int64))]
             ask = _take(c, np.flatnonzero(first)) | {"again": again[first].astype(np.uint8)}
             out += [(r, 0, 0, x) for r, x in _dealt(ask, _REGION, (ask["h"] % np.uint64(routes)).astype(np.int64))]
             for i in range(0, len(out), 256):
@@ -271,33 +310,48 @@ def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group
             yield from sent()
 
     def settle(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Anchors that more than one task has; what was settled before passes through."""
-        asked = []
+        """Anchors that more than one task has; what was settled before passes through. Groups learn of the hot ones they have."""
+        asked, counted = [], []
         for batch in stream:
             rows = []
             for kind, g, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if kind:
-                    rows.append((g, body))
+                if kind == 1:
+                    rows.append((0, g, body))
                 else:
-                    asked.append(body)
+                    (asked if kind == 0 else counted).append(body)
             if rows:
-                yield _batch(rows, ("g", "body"))
+                yield _batch(rows, ("kind", "g", "body"))
         c = _joined(asked, _REGION)
-        if len(c["h"]):
-            again, _ = _repeated(c["h"])
-            c = _take(c, np.flatnonzero(again & (c["again"] == 0)))
-            rows = list(_dealt(c, _CAND, _groups(c, groups)))
-            for i in range(0, len(rows), 256):
-                yield _batch(rows[i : i + 256], ("g", "body"))
+        if not len(c["h"]):
+            return
+        held = _joined(counted, _HELD)
+        again, _ = _repeated(c["h"])
+        c = _take(c, np.flatnonzero(again & (c["again"] == 0)))
+        alone = {"h": c["h"], "g": _groups(c, groups), "many": np.ones(len(c["h"]), np.uint32)}
+        held = {k: np.concatenate([held[k], alone[k]]) for k, _ in _HELD}
+        names, at = np.unique(held["h"], return_inverse=True)
+        many = np.bincount(at, held["many"], len(names))
+        rows = [(0, g, x) for g, x in _dealt(c, _CAND, _groups(c, groups))]
+        told = _take(held, np.flatnonzero(many[at] >= hot)) if len(names) else held
+        for h in np.unique(told["h"]).tolist():
+            where = told["g"][told["h"] == h]
+            rows += [(1, g, np.uint64(h).tobytes()) for g in (range(groups) if (where < 0).any() else np.unique(where).tolist())]
+        for i in range(0, len(rows), 256):
+            yield _batch(rows[i : i + 256], ("kind", "g", "body"))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         """Windows around the anchors of a group's documents, copies within the group settled."""
         rows = []
         if left.num_rows and right.num_rows:
-            c = _joined(right.column("body").to_pylist(), _CAND)
+            kinds, bodies = right.column("kind").to_pylist(), right.column("body").to_pylist()
+            c = _joined([x for k, x in zip(kinds, bodies, strict=True) if not k], _CAND)
+            wide = np.frombuffer(b"".join(x for k, x in zip(kinds, bodies, strict=True) if k), np.uint64)
             where = {k: i for i, k in enumerate(left.column("key").to_pylist())}
             bodies = blobs(left.column("text").combine_chunks())
-            parts = [bodies[where[k]][s : s + n + length - 1] for k, s, n in zip(_packed(c), c["start"].tolist(), c["n"].tolist(), strict=True)]
+            held = [bodies[where[k]] for k in _packed(c)]
+            if len(wide):
+                c, held = _by_places(c, np.isin(c["h"], wide), held, length, inner)
+            parts = [x[s : s + n + length - 1] for x, s, n in zip(held, c["start"].tolist(), c["n"].tolist(), strict=True)]
             first: dict[tuple, int] = {}
             lone = np.zeros(len(parts), np.int64)
             for i, key in enumerate(zip(parts, c["lead"].tolist(), strict=True)):
@@ -419,7 +473,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, inner: int = INNER, group
     # the same exchange of texts serves both joins
     sides = grouped.groupBy("g")
     marked = rows.mapInArrow(mark, "route int, kind int, g long, body binary")
-    known = marked.repartitionById(routes, "route").mapInArrow(settle, "g long, body binary")
+    known = marked.repartitionById(routes, "route").mapInArrow(settle, "kind int, g long, body binary")
     cuts = sides.cogroup(known.groupBy("g")).applyInArrow(cut, "route int, kind int, g long, body binary")
     spans = cuts.repartitionById(routes, "route").mapInArrow(order, "g long, body binary")
     return sides.cogroup(spans.groupBy("g")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")

@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, blobs, cut
+from .common import BROADCAST_IDS, blobs, cut, few_rows
 from .components import connected_components, meet
 
 #: Variants that a shuffle partition should hold, and that a task holds at a time.
-PART_VARIANTS, LEAF_VARIANTS = 8_000_000, 1_500_000
+PART_VARIANTS, LEAF_VARIANTS = 8_000_000, 300_000
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
@@ -258,7 +258,7 @@ def table_fingerprints(shingles: np.ndarray, width: int, tables: int) -> np.ndar
 PART_TABLE_VARIANTS = 256_000_000
 #: Share of all fingerprint bits up to which a candidate is verified: five deviations beyond the least similarity.
 MOST_APART = 0.265
-#: Rounds that look again around pairs which meet but aren't alike, each in another order.
+#: Rounds at most that look again around pairs which meet but aren't alike, each in another order; one that finds nothing is the last.
 ROUNDS = 4
 
 
@@ -389,15 +389,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
         last, known = None, None
         for batch in stream:
             out = []
-            for mine, other in zip(blobs(batch.column(2)), blobs(batch.column(3)), strict=True):
-                if other != last:
-                    last, known = other, shingle_set(other, words)
-                out.append(alike(shingle_set(mine, words), known))
+            for part in few_rows(batch):
+                for mine, other in zip(blobs(part.column(2)), blobs(part.column(3)), strict=True):
+                    if other != last:
+                        last, known = other, shingle_set(other, words)
+                    out.append(alike(shingle_set(mine, words), known))
             good = batch.filter(pa.array(out, pa.bool_()))
             yield pa.RecordBatch.from_arrays([good.column(0), good.column(1)], names=["a", "b"])
 
-    # many pairs may have one b: that join comes last, on plain exchanges, which are split where they are skewed
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # many pairs may have one b: that join comes last, so that it is split where it is skewed
+    return meet(pairs.select("a", "b").join(x, "a"), y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _similar(rows: DataFrame, words: int, width: int, tables: int, radius: int) -> DataFrame:
@@ -405,7 +406,7 @@ def _similar(rows: DataFrame, words: int, width: int, tables: int, radius: int)
     keyed = rows.select("doc_id", F.sha2("text", 256).alias("digest"), "text")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (part for whole in stream for part in few_rows(whole)):
             sets = [shingle_set(x, words) for x in blobs(batch.column(2))]
             names = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             fps = pa.array([table_fingerprints(x, width, tables).view(np.int64) for x in sets], pa.list_(pa.int64()))
@@ -454,9 +455,10 @@ def _similar(rows: DataFrame, words: int, width: int, tables: int, radius: int)
         pairs = likely(candidates(held, many, width, tables, radius, seed=turn).join(tested, ["a", "b"], "left_anti"))
         found = verified(pairs)
         tested = cut(tested.union(pairs.select("a", "b")))
-        if not found.isEmpty():
-            edges = cut(edges.union(found))
-            root = cut(connected_components(edges))
+        if found.isEmpty():
+            break
+        edges = cut(edges.union(found))
+        root = cut(connected_components(edges))
         vain = cut(parted(pairs, root))
     rooted = classes.select("set", "first", "node").join(root, "node", "left").select("set", "first", F.coalesce("root", "node").alias("root"))
     named = meet(rooted, rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("set", "least")
