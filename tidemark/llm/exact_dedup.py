@@ -12,7 +12,6 @@ in practice that is one text each, and the limit is for collisions.
 from __future__ import annotations
 
 import hashlib
-import os
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
