@@ -256,10 +256,9 @@ def table_fingerprints(shingles: np.ndarray, width: int, tables: int) -> np.ndar
 
 #: Variants of one table that a part of ``candidates`` holds, about: its task takes some twenty seconds, whatever the input.
 PART_TABLE_VARIANTS = 256_000_000
-#: Share of all fingerprint bits up to which a candidate is verified: five deviations beyond the least similarity.
-MOST_APART = 0.265
-#: Rounds at most that look again around pairs which meet but aren't alike, each in another order; one that finds nothing is the last.
-ROUNDS = 4
+#: Share of all fingerprint bits up to which a candidate is verified, some four deviations beyond the least similarity; a wider
+#: one for sets of fewer shingles than ``FEW``, whose bits differ more.
+MOST_APART, FEW, MOST_APART_FEW = 0.205, 20, 0.28
 
 
 def _meetings(fps: np.ndarray, prefix: int, bits: int, radius: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -278,10 +277,11 @@ def _meetings(fps: np.ndarray, prefix: int, bits: int, radius: int, width: int)
             yield who, first, np.diff(np.concatenate((first, [len(who)])))
 
 
-def attached(fps: np.ndarray, nodes: np.ndarray, prefix: int, bits: int, radius: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each node with the least node whose ball shares a variant with its own, among variants that start with ``prefix``.
+def attached(fps: np.ndarray, nodes: np.ndarray, prefix: int, bits: int, radius: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, partners and distances: each node with the most central one whose ball shares a variant with its own, among variants that start with ``prefix``.
 
-    Nodes of one fingerprint are linked to the least of them, which stands for them all.
+    The one that shares most variants is the most central: the text that the others are copies of is near to more of them
+    than any copy is. Nodes of one fingerprint are linked to the least of them, which stands for them all.
     """
     order = np.lexsort((nodes, fps))
     fps, nodes = fps[order], nodes[order]
@@ -289,20 +289,26 @@ def attached(fps: np.ndarray, nodes: np.ndarray, prefix: int, bits: int, radius:
     rep = nodes[np.flatnonzero(new)[np.cumsum(new) - 1]]
     # only the part that a fingerprint itself belongs to tells of its equals
     same = ~new & ((fps >> np.uint64(width - bits)) == np.uint64(prefix))
-    out = [(nodes[same], rep[same])]
+    out = [(nodes[same], rep[same], np.zeros(same.sum(), np.int64))]
     fps, nodes = fps[new], nodes[new]
-    order = np.argsort(nodes)
-    fps, nodes = fps[order], nodes[order]
-    least = np.arange(len(fps))
-    for who, first, size in _meetings(fps, prefix, bits, radius, width):
-        np.minimum.at(least, who, np.repeat(np.minimum.reduceat(who, first), size))
-    moved = least < np.arange(len(fps))
-    out.append((nodes[moved], nodes[least[moved]]))
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-
-
-def across(fps: np.ndarray, nodes: np.ndarray, roots: np.ndarray, seed: int, prefix: int, bits: int, radius: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each node with one of another root whose ball shares a variant with its own: the first in an order drawn by ``seed``."""
+    met = list(_meetings(fps, prefix, bits, radius, width))
+    shared = np.zeros(len(fps))
+    for who, _, size in met:
+        shared += np.bincount(who, np.repeat(size, size), len(fps))
+    order = np.lexsort((nodes, -shared))
+    rank = np.empty(len(fps), np.int64)
+    rank[order] = np.arange(len(fps))
+    best = rank.copy()
+    for who, first, size in met:
+        np.minimum.at(best, who, np.repeat(np.minimum.reduceat(rank[who], first), size))
+    moved = best < rank
+    to = order[best[moved]]
+    out.append((nodes[moved], nodes[to], np.bitwise_count(fps[moved] ^ fps[to]).astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def across(fps: np.ndarray, nodes: np.ndarray, roots: np.ndarray, seed: int, prefix: int, bits: int, radius: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, partners and distances: each node with one of another root whose ball shares a variant with its own: the first in an order drawn by ``seed``."""
     order = np.lexsort((nodes, roots, fps))
     order = order[np.concatenate(([True], (fps[order][1:] != fps[order][:-1]) | (roots[order][1:] != roots[order][:-1])))]
     order = order[np.argsort(_again(nodes[order].astype(np.uint64), seed), kind="stable")]
@@ -315,23 +321,22 @@ def across(fps: np.ndarray, nodes: np.ndarray, roots: np.ndarray, seed: int, pre
         two = np.repeat(np.minimum.reduceat(other, first), size)
         np.minimum.at(best, who, np.where(roots[who] == roots[one], two, one))
     found = np.flatnonzero(best < none)
-    return nodes[found], nodes[best[found]]
+    return nodes[found], nodes[best[found]], np.bitwise_count(fps[found] ^ fps[best[found]]).astype(np.int64)
 
 
 def candidates(rows: DataFrame, many: int, width: int, tables: int, radius: int, seed: int | None = None) -> DataFrame:
-    """(a, b, n) with a > b: each node of ``rows`` (node, fps) with the least ones that it meets, and in how many parts.
+    """(a, b, n) with a > b: each node of ``rows`` (node, fps) with the most central ones that it meets, and in how many tables.
 
     With a ``seed`` the rows have a root as well, and a node is given partners of other roots, in an order drawn anew for
     each table. ``many`` bounds nodes and roots, which count from 0. A fingerprint goes once to each leading part that
-    its variants have, in as many bytes as it and its node need. A node has one partner in a part at most, so links grow
-    with the rows and not with the squares of groups; and since the least node is the same in all tables, a group of
-    copies has few of them.
+    its variants have, in as many bytes as it and its node need. A node has one partner in a part at most, and the
+    closest of them in a table, so links grow with the rows and not with the squares of groups.
     """
     if radius % 2:
         raise ValueError("radius must be even")
     half = radius // 2
     ball = sum(comb(width, i) for i in range(half + 1))
-    bits = min(24, max(4, (many * ball // PART_TABLE_VARIANTS).bit_length()))
+    bits = min(24, max(2, (many * ball // PART_TABLE_VARIANTS).bit_length()))
     spread = _masks(bits, half)
     node_bytes = max(1, -(-max(1, many).bit_length() // 8))
     sizes = [-(-width // 8), node_bytes, *([node_bytes] if seed is not None else [])]
@@ -359,12 +364,14 @@ def candidates(rows: DataFrame, many: int, width: int, tables: int, radius: int,
             wide[k, :, :size] = entry[:, end - size : end]
         fps, *numbers = wide.view("<u8")[:, :, 0]
         numbers, place = [x.astype(np.int64) for x in numbers], (part & ((1 << bits) - 1), bits, radius, width)
-        a, b = attached(fps, *numbers, *place) if seed is None else across(fps, *numbers, seed * tables + (part >> bits) + 1, *place)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        a, b, d = attached(fps, *numbers, *place) if seed is None else across(fps, *numbers, seed * tables + (part >> bits) + 1, *place)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), part >> bits, np.int32)), pa.array(a), pa.array(b), pa.array(d.astype(np.int32))], names=["t", "a", "b", "d"])
 
     columns = ["fps", "node", *(["root"] if seed is not None else [])]
     dealt = rows.select(*columns).mapInArrow(deal, "part long, body binary").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(lambda stream: _by_key(stream, done), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    met = dealt.mapInArrow(lambda stream: _by_key(stream, done), "t int, a long, b long, d int")
+    closest = met.groupBy("a", "t").agg(F.min(F.struct("d", "b")).alias("c")).select("a", F.col("c.b").alias("b"))
+    return closest.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _numbered(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -410,18 +417,20 @@ def _similar(rows: DataFrame, words: int, width: int, tables: int, radius: int)
             sets = [shingle_set(x, words) for x in blobs(batch.column(2))]
             names = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             fps = pa.array([table_fingerprints(x, width, tables).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, fps], names=["doc_id", "digest", "set", "fps"])
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, fps, sizes], names=["doc_id", "digest", "set", "fps", "size"])
 
-    marked = cut(keyed.mapInArrow(run, "doc_id long, digest string, set binary, fps array<long>"))
+    marked = cut(keyed.mapInArrow(run, "doc_id long, digest string, set binary, fps array<long>, size long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     # equal sets are one node
-    classes, many = _numbered(marked.groupBy("set").agg(first, F.first("fps").alias("fps")), "node")
-    end = lambda k, x: classes.select(F.col("node").alias(k), F.col("fps").alias(x))
+    classes, many = _numbered(marked.groupBy("set").agg(first, F.first("fps").alias("fps"), F.first("size").alias("size")), "node")
+    end = lambda k, x: classes.select(F.col("node").alias(k), F.col("fps").alias(x), F.col("size").alias(f"size_{x}"))
+    most = F.when(F.least("size_x", "size_y") < FEW, int(MOST_APART_FEW * width * tables)).otherwise(int(MOST_APART * width * tables))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Chance pairs agree in the bits of one table only, and are told by those of all."""
-        return cut(pairs.join(end("a", "x"), "a").join(end("b", "y"), "b").where(apart <= int(MOST_APART * width * tables)).select("a", "b", "n"))
+        return cut(pairs.join(end("a", "x"), "a").join(end("b", "y"), "b").where(apart <= most).select("a", "b", "n"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The text of each set that is asked for is fetched once, from any of the rows that have it."""
@@ -436,30 +445,27 @@ def _similar(rows: DataFrame, words: int, width: int, tables: int, radius: int)
         both = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
         return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
+    def steps(edges: DataFrame) -> DataFrame:
+        """(node, root): where two steps down from a node lead, each to its least neighbour; equal roots are surely connected."""
+        down = edges.groupBy("a").agg(F.min("b").alias("b"))
+        next_down = down.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        return cut(down.join(next_down, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("root")))
+
     pairs = likely(candidates(classes, many, width, tables, radius))
-    # each node's most frequent candidate first; the others only where that leaves two components
+    # each node's most frequent candidate first; the others only where that leaves two roots
     best = cut(pairs.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("most")).select("a", (-F.col("most.b")).alias("b")))
     edges = verified(best)
-    root = cut(connected_components(edges))
-    rest = cut(parted(pairs.join(best, ["a", "b"], "left_anti"), root))
+    rest = cut(parted(pairs.join(best, ["a", "b"], "left_anti"), steps(edges)))
     if not rest.isEmpty():
         edges = cut(edges.union(verified(rest)))
-        root = cut(connected_components(edges))
-    # a node's least partner may hide another that is alike: where pairs met in vain, look again in other orders
-    tested, vain = pairs.select("a", "b"), cut(parted(pairs, root))
-    for turn in range(1, ROUNDS + 1):
-        if vain.isEmpty():
-            break
-        around = vain.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        held = classes.select("node", "fps").join(around, "node").join(root, "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root"))
-        pairs = likely(candidates(held, many, width, tables, radius, seed=turn).join(tested, ["a", "b"], "left_anti"))
-        found = verified(pairs)
-        tested = cut(tested.union(pairs.select("a", "b")))
-        if found.isEmpty():
-            break
-        edges = cut(edges.union(found))
-        root = cut(connected_components(edges))
-        vain = cut(parted(pairs, root))
+    # a node's partner may hide another that is alike: where pairs met in vain, look again in another order
+    root = steps(edges)
+    vain = cut(parted(pairs, root).select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    if not vain.isEmpty():
+        held = classes.select("node", "fps").join(vain, "node").join(root, "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root"))
+        again = candidates(held, many, width, tables, radius, seed=1).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        edges = cut(edges.union(verified(likely(again))))
+    root = connected_components(edges)
     rooted = classes.select("set", "first", "node").join(root, "node", "left").select("set", "first", F.coalesce("root", "node").alias("root"))
     named = meet(rooted, rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("set", "least")
     found = marked.select("doc_id", "digest", "set").join(cut(named), "set")
