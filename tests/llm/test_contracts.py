@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_llm import SF, TOKENIZER, brute_force, check_packed, docs_of
-from tidemark.llm import chat, language, packing, queries, repeats
+from tidemark.llm import chat, html, language, packing, queries, repeats, toxicity
 from tidemark.llm import decontaminate as decontaminate_module
 from tidemark.llm.decontaminate import contaminated, decontaminate
 
@@ -61,6 +61,12 @@ def test_a_common_line_and_a_very_long_text(spark):
     rows = [(i, letters(rng, rng.randrange(0, 400)) + (line if i % 3 == 0 else "") + letters(rng, rng.randrange(0, 400))) for i in range(240)]
     long = letters(rng, 3_000_000) + rows[1][1] + "ab" * 300
     check_repeats(spark, [*rows, (999, long)], chunk=3000)
+    # lines of all lengths around a window's, dealt out by places from a few occurrences on
+    for n in (100, 120, 185, 199, 200, 230):
+        line = letters(rng, n)
+        some = [(i, letters(rng, rng.randrange(0, 300)) + (line if i % 3 else "") + rng.choice(["", "same end " * 5]) + letters(rng, rng.randrange(0, 300))) for i in range(60)]
+        for options in ({"hot": 6}, {"hot": 6, "group_docs": 4, "task_anchors": 40}, {"hot": 25, "group_docs": 7}):
+            check_repeats(spark, some, parts=5, **options)
 
 
 # language
@@ -245,3 +251,294 @@ def test_a_wrong_mask_would_be_seen(spark):
 def test_chat_is_native(spark):
     plan = queries.op9_chat(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan
+
+
+# HTML
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p title=it's>Hello there, all of you.</p><p>More of it, too.</p>", "Hello there, all of you. More of it, too."),
+        ("<div data-x=don't><p>One, two.</p></div><p>Three, four.</p>", "One, two. Three, four."),
+        ("<p don't>One, two.</p><p a='x'b=\"y>z\">Three, four.</p>", "One, two. Three, four."),
+        ("<p title=\"never closed>One, two.</p><p>Three, four.</p>", "One, two. Three, four."),
+        ("<p>a &lt; b, 1 < 2 &amp; </3> c</p><!--><p>no</p>--><p>x, y</p>", "a < b, 1 < 2 & c no --> x, y"),
+        ("<a href=x title=a/b>no, </a><p>One, two<br/>three.</p>", "no, One, two three."),
+    ],
+)
+def test_markup_is_read_by_the_standard(page, want):
+    assert html.extract(f"<body>{page}") == want
+
+
+PROSE = "It was a long and quiet morning, with little to do, and the sea lay flat under a pale sky, as it had for days. "
+
+
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "with-sidebar", "sidebar-layout", "content-sidebar-wrap", "search-results-page", "related", "no-banner notice"])
+def test_a_wrapper_keeps_its_article(wrapper):
+    page = f'<body><div class="{wrapper}"><article><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></article></div><div class=sidebar><p>{PROSE}</p></div>'
+    assert html.extract(page) == f"Title {PROSE.strip()} {PROSE.strip()}"
+
+
+def test_words_alone_drop_no_prose_in_an_article():
+    blocks = "".join(f'<div class="{c}"><p>{c}: {PROSE * 2}</p></div>' for c in ("share", "notice-period", "related", "search"))
+    furniture = '<div class="share-buttons"><a href=a>Share</a> <a href=b>Post</a></div><div class=comments><article class=comment-body><p>' + PROSE * 9 + '</p></article></div><div class="ad">Buy, buy, buy.</div><div id=adBanner>More.</div><p class="cookie-notice">We use cookies.</p>'
+    got = html.extract(f"<body><article><h1>Title</h1><p>{PROSE}</p>{blocks}{furniture}<p>{PROSE}</p></article>")
+    want = ["Title", PROSE.strip(), *(f"{c}: {(PROSE * 2).strip()}" for c in ("share", "notice-period", "related", "search")), PROSE.strip()]
+    assert got == " ".join(want)
+
+
+class _Article(__import__("html.parser").parser.HTMLParser):
+    """The text between <article> and </article>, block by block, read by the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag in ("h1", "p", "br"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag in ("h1", "p"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_pages_give_their_articles(spark):
+    import pandas as pd
+
+    pages = pd.read_parquet(f"{SF}/pages.parquet")
+    got = queries.op4_html(spark, SF).toPandas().set_index("page_id")
+    assert len(got) == len(pages)
+    hits = out = known = 0
+    for page in pages.itertuples():
+        reader = _Article()
+        reader.feed(page.html or "")
+        reader.close()
+        want = " ".join(x for x in (" ".join(b.split()) for b in reader.blocks) if x).split()
+        found = got.text[page.page_id].split()
+        assert got.n_chars[page.page_id] == len(got.text[page.page_id])
+        both = __import__("collections").Counter(want) & __import__("collections").Counter(found)
+        hits, out, known = hits + both.total(), out + len(found), known + len(want)
+    assert hits / out > 0.999 and hits / known > 0.999
+
+
+# the pipeline's stages
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    words = lambda n: " ".join(letters(rng, 5) for _ in range(n))
+    text, item = words(120), words(30)
+    near = text.replace(text.split()[60], "other")
+    rows = [(None, None), (1, None), (2, ""), (2, ""), (None, text), (7, near), (None, words(50)), (7, words(40)), (8, item + " end"), (None, words(3)), (9, "z " * 20_000)]
+    docs = docs_of(spark, rows)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+    key = lambda df: sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:9]) for r in df.collect())
+    assert key(stage["quality"](spark, docs, str(tmp_path))) == key(docs)
+    kept = stage["near_dedup"](spark, docs, str(tmp_path))
+    # empty texts are one group, and so are the two near copies, of which the one with an id stays
+    assert kept.columns == docs.columns and key(kept) == key(docs_of(spark, [(1, None), (7, near), rows[6], rows[7], rows[8], rows[9], rows[10]]))
+    assert key(stage["decontaminate"](spark, docs, str(tmp_path))) == key(docs_of(spark, [r for r in rows if r[0] != 8]))
+    assert stage["packing"](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 6
+    done = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert set(done.doc_id.dropna()) == {1, 7, 9} and done.doc_id.isna().sum() == 2
+
+
+def test_a_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs_of(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# the quality classifier
+
+
+def test_trees_against_a_plain_walk_and_a_plain_search():
+    from tidemark.llm.quality import fit
+
+    rng = np.random.default_rng(42)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] < -0.2)).astype(float)
+    model = fit(x, y, trees=12, depth=3, bins=500)
+
+    def walk(row):
+        total = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.value, strict=True):
+            at = 0
+            while at < len(f):
+                at = 2 * at + (2 if row[f[at]] > t[at] else 1)
+            total += v[at - len(f)]
+        return total
+
+    assert np.allclose(model.raw(x), [walk(r) for r in x]) and ((model.raw(x) > 0) == y).mean() > 0.95
+    # the first split is the best of all there are
+    p = y.mean()
+    grad, hess = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(j, t):
+        left = x[:, j] <= t
+        if hess[left].sum() < 1 or hess[~left].sum() < 1:
+            return 0.0
+        return sum(grad[m].sum() ** 2 / (hess[m].sum() + 1) for m in (left, ~left)) - grad.sum() ** 2 / (hess.sum() + 1)
+
+    best = max(gain(j, t) for j in range(4) for t in np.unique(x[:, j]))
+    assert gain(model.feature[0][0], model.threshold[0][0]) == pytest.approx(best)
+
+
+# toxicity
+
+
+def test_log_odds_are_graded_and_keep_rare_sure_words(spark):
+    rows = [("rare", 200, 0), ("sure", 5000, 10), ("likely", 300, 150), ("hapax", 1, 0), ("clean", 10, 5000), ("even", 4000, 4000), ("rest", 90_000, 90_000)]
+    got = {r.u: r.s for r in toxicity.log_odds(spark.createDataFrame(rows, "u string, y1 long, y0 long")).collect()}
+    assert set(got) == {"rare", "sure", "likely", "clean"}
+    assert min(got["sure"], got["rare"]) > 2 > got["likely"] > 0 > got["clean"]
+
+
+def test_a_word_in_one_of_a_hundred_toxic_documents_is_learned(spark):
+    rng = random.Random(43)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    say = lambda *extra: " ".join(rng.sample(plain, 40) + list(extra) + rng.sample(plain, 10))
+    rows, labels = [], []
+    for i in range(12_000):
+        bad = i % 2
+        rows.append((i, say(*(["zorvax", "quimble"] if i % 200 == 1 else ["blork", "snarv"] if bad else []))))
+        labels.append((i, 1, bad))
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    rare = [r for i, r in got.items() if i % 200 == 1 and r.held_out]
+    assert rare and all(r.predicted for r in rare) and sum(r.predicted for i, r in got.items() if i % 2 == 0) < 120
+
+
+def test_scores_against_all_segments():
+    """The score of a text from every maximal segment found by exhaustive search."""
+    rng = random.Random(44)
+    model = toxicity.Model({f"={c}": v for c, v in zip("abcdef", (3.0, 2.0, 1.2, -1.0, -4.0, 0.7), strict=True)}, -0.5, 0.8, 0.3)
+    for _ in range(100):
+        words = [rng.choice("abcdefghij") for _ in range(rng.randrange(0, 25))]
+        s = [model.odds.get(f"={w}", 0.0) - 0.5 for w in words]
+        rest, todo = 1.0, [(0, len(s))]
+        while todo:
+            a, b = todo.pop()
+            best = max(((sum(s[i:j]), i - j, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=None)
+            if best and best[0] > 1e-12:
+                rest *= 1 - np.exp(-model.rate * len(s) * np.exp(-model.decay * best[0]))
+                todo += [(a, best[2]), (best[3], b)]
+        assert toxicity.score(model, " ".join(words)) == pytest.approx(1 - rest)
+
+
+# near copies
+
+
+def test_every_near_fingerprint_is_a_candidate():
+    """Links are within the radius, one for each node of a part, and whoever has a near neighbour is in one."""
+    from tidemark.llm.simhash import attached
+
+    rng = random.Random(51)
+    width, bits, radius = 40, 4, 4
+    fps = [rng.getrandbits(width) for _ in range(60)]
+    for _ in range(240):
+        x = rng.choice(fps)
+        for b in rng.sample(range(width), rng.randrange(0, 6)):
+            x ^= 1 << b
+        fps.append(x)
+    links = set()
+    for prefix in range(1 << bits):
+        near = [i for i, x in enumerate(fps) if bin((x >> (width - bits)) ^ prefix).count("1") <= radius // 2]
+        a, b, _ = attached(np.array([fps[i] for i in near], np.uint64), np.array(near, np.int64), prefix, bits, radius, width)
+        assert len(set(a.tolist())) == len(a) and not (a == b).any()
+        links |= set(zip(a.tolist(), b.tolist(), strict=True))
+    assert all(bin(fps[a] ^ fps[b]).count("1") <= radius for a, b in links)
+    linked = {x for pair in links for x in pair}
+    for i, x in enumerate(fps):
+        if any(j != i and bin(x ^ y).count("1") <= radius for j, y in enumerate(fps)):
+            assert i in linked
+
+
+def test_a_centre_is_everyones_candidate():
+    """The text that all others are copies of is linked to all of them that it meets."""
+    from tidemark.llm.simhash import attached
+
+    rng = random.Random(54)
+    width, radius = 40, 4
+    base = rng.getrandbits(width)
+    fps = [base] + [base ^ sum(1 << b for b in rng.sample(range(width), 4)) for _ in range(80)]
+    nodes = np.array([1000, *range(80)])
+    a, b, d = attached(np.array(fps, np.uint64), nodes, 0, 0, radius, width)
+    assert set(a.tolist()) == set(range(80)) and set(b.tolist()) == {1000} and set(d.tolist()) == {4}
+
+
+def test_candidates_across_roots():
+    """Every node with a near one of another root gets such a partner, whatever the order."""
+    from tidemark.llm.simhash import across
+
+    rng = random.Random(53)
+    width, bits, radius = 40, 4, 4
+    base = [rng.getrandbits(width) for _ in range(8)]
+    fps = [rng.choice(base) ^ (1 << rng.randrange(width)) for _ in range(120)]
+    roots = [rng.randrange(5) for _ in fps]
+    drawn = set()
+    for seed in (1, 2, 3):
+        links = set()
+        for prefix in range(1 << bits):
+            near = [i for i, x in enumerate(fps) if bin((x >> (width - bits)) ^ prefix).count("1") <= radius // 2]
+            a, b, _ = across(np.array([fps[i] for i in near], np.uint64), np.array(near), np.array([roots[i] for i in near]), seed, prefix, bits, radius, width)
+            links |= set(zip(a.tolist(), b.tolist(), strict=True))
+        assert all(roots[a] != roots[b] and bin(fps[a] ^ fps[b]).count("1") <= radius for a, b in links)
+        stands = {(fps[i], roots[i]): min(j for j in range(len(fps)) if (fps[j], roots[j]) == (fps[i], roots[i])) for i in range(len(fps))}
+        for i in stands.values():
+            if any(roots[i] != roots[j] and bin(fps[i] ^ fps[j]).count("1") <= radius for j in range(len(fps))):
+                assert any(i == a for a, _ in links)
+        drawn.add(frozenset(links))
+    assert len(drawn) == 3
+
+
+def test_a_large_group_has_few_candidates(spark):
+    from tidemark.llm import simhash
+
+    rng = random.Random(52)
+    word = lambda: letters(rng, 5)
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(1500):
+        x = list(base)
+        for at in rng.sample(range(150), rng.randrange(0, 3)):
+            x[at] = word()
+        rows.append((i, " ".join(x)))
+    rows += [(5000 + i, " ".join(word() for _ in range(150))) for i in range(300)]
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in rows]
+    nodes = spark.createDataFrame([(k, simhash.table_fingerprints(x, 40, 16).view(np.int64).tolist()) for k, x in enumerate(sets)], "node long, fps array<long>").repartition(3)
+    pairs = simhash.candidates(nodes, len(rows), 40, 16, 4).collect()
+    assert all(p.a > p.b for p in pairs) and len(pairs) < 16 * len(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar_copies(docs_of(spark, rows)).collect()}
+    assert all(got[i] == 0 for i in range(1500)) and all(got[5000 + i] == 5000 + i for i in range(300))
+
+
+# SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda frame: sorted(map(str, frame[sorted(frame.columns)].itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
