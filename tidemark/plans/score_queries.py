@@ -227,7 +227,7 @@ def iaaft(spark, d):
 @query("surrogate_validation")
 def surrogate_validation(spark, d):
     t = S.tail(ship(spark, d), 256).select("sid", "ts", "v")
-    return G.validation_report(t, G.iaaft_ensemble(t, 5))
+    return G.validation_report(t, G.iaaft_ensemble(t, Protocol().surrogates))
 
 
 _K = Protocol().surrogates
