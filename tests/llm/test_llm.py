@@ -251,12 +251,6 @@ def test_short_items_with_substitutions(spark):
         assert got == want | {-1: 1}
 
 
-def test_without_by_either_join(spark):
-    docs, ids = docs_of(spark, AWKWARD), spark.createDataFrame([(3,), (None,), (3,), (99,)], "doc_id long")
-    for limit in (0, 100):
-        assert sorted(r.doc_id for r in common.without(docs, ids, broadcast_ids=limit).collect()) == [1, 2, 4, 5, 6, 7]
-
-
 def test_exact_stage_keeps_one_of_repeated_rows(spark):
     import corpus_pipeline
 

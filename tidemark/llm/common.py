@@ -42,21 +42,10 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Ids up to which a set to leave out is sent to every task (about 30 bytes each); beyond, both sides are shuffled.
+#: Ids or digests up to which a set is sent to every task (under 100 bytes each); beyond, both sides are shuffled.
 BROADCAST_IDS = 200_000
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """The rows of ``docs`` whose id isn't in the one column of ``ids``; a null id is an id like any other.
-
-    The set is computed and counted first: a small one spares the texts a shuffle.
-    """
-    gone = cut(ids.toDF("_gone").distinct())
-    if gone.limit(broadcast_ids + 1).count() <= broadcast_ids:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-
-
 def few_rows(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """A batch in slices, so that only a few of its texts are Python objects at a time."""
     for i in range(0, batch.num_rows, rows):
