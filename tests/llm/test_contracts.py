@@ -529,6 +529,84 @@ def test_a_large_group_has_few_candidates(spark):
     assert all(got[i] == 0 for i in range(1500)) and all(got[5000 + i] == 5000 + i for i in range(300))
 
 
+def copies_of_every_degree(rng, copies, most):
+    """One text of 150 words and copies of it with up to ``most`` words changed, many of them more like each other than like the text."""
+    base = [letters(rng, 5) for _ in range(150)]
+    out = [base]
+    for _ in range(copies):
+        x = list(rng.choice(out)) if rng.random() < 0.5 else list(base)
+        for at in rng.sample(range(150), rng.randrange(1, most)):
+            x[at] = letters(rng, 5)
+        out.append(x)
+    return [(i, " ".join(x)) for i, x in enumerate(out)]
+
+
+def met_pairs(fps, radius=4):
+    """All pairs of which one of the tables' fingerprints is within the radius."""
+    fps = np.stack(fps)
+    return {(a, b) for b in range(len(fps)) for a in np.flatnonzero((np.bitwise_count(fps[:b] ^ fps[b]) <= radius).any(axis=1)).tolist()}
+
+
+def test_no_pair_is_hidden_by_a_central_one(spark):
+    """What meets and is alike is in one component, however many others are nearer to the most central text."""
+    from tidemark.llm import simhash
+
+    rows = copies_of_every_degree(random.Random(56), 700, 16)
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in met_pairs([simhash.table_fingerprints(x, 40, 16) for x in sets]):
+        if simhash.alike(sets[a], sets[b]):
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in range(len(rows))}
+    assert 100 < len(set(want.values())) < len(rows) - 100
+    assert {r.doc_id: r.component_id for r in simhash.similar_copies(docs_of(spark, rows).repartition(3)).collect()} == want
+
+
+def test_pairs_are_listed_or_both_crowded(spark):
+    """Every pair that meets is listed, unless both of its nodes are told to be crowded; equal fingerprints are no exception."""
+    from tidemark.llm import simhash
+
+    rng = random.Random(57)
+    rows = copies_of_every_degree(rng, 60, 8) + [(0, " ".join(letters(rng, 5) for _ in range(80))) for _ in range(40)]
+    fps = [simhash.table_fingerprints(simhash.shingle_set(t.encode(), 5), 40, 16) for _, t in rows]
+    fps += [fps[-1]] * 2 + [fps[-2]] * 12
+    nodes = spark.createDataFrame([(k, x.view(np.int64).tolist()) for k, x in enumerate(fps)], "node long, fps array<long>").repartition(3)
+    found = simhash._met(nodes, len(fps), 40, 16, 4).collect()
+    listed, crowd = {(min(r.a, r.b), max(r.a, r.b)) for r in found if r.a != r.b}, {r.a for r in found if r.a == r.b}
+    met = met_pairs(fps)
+    assert listed <= met and crowd and 20 < len({x for p in met for x in p} - crowd)
+    assert all(p in listed or crowd.issuperset(p) for p in met)
+    assert {len(fps) - 14, len(fps) - 13} <= {x for p in listed for x in p} - crowd
+
+
+def test_all_pairs_of_different_roots(monkeypatch):
+    """Among crowded nodes every pair of different roots that meets is told of, in the first table where it does, however few are held at a time."""
+    from tidemark.llm import simhash
+
+    rng = random.Random(58)
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in copies_of_every_degree(rng, 120, 6)]
+    fps = [simhash.table_fingerprints(x, 40, 16) for x in sets]
+    roots, sizes, bits = np.array([rng.randrange(4) for _ in sets]), np.array([len(x) for x in sets]), 2
+    for held in (3, 1_000_000):
+        monkeypatch.setattr(simhash, "PAIRS", held)
+        got = defaultdict(set)
+        for table, prefix in itertools.product(range(16), range(1 << bits)):
+            near = [i for i, x in enumerate(fps) if bin((int(x[table]) >> (40 - bits)) ^ prefix).count("1") <= 2]
+            for x, y in simhash.crossing(np.stack([fps[i] for i in near]), roots[near], sizes[near], table, prefix, bits, 4, 40):
+                for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                    got[near[a], near[b]].add(table)
+        apart = {p: np.bitwise_count(fps[p[0]] ^ fps[p[1]]) for p in met_pairs(fps) if roots[p[0]] != roots[p[1]]}
+        want = {p: {int(np.flatnonzero(d <= 4)[0])} for p, d in apart.items() if d.sum() <= int(simhash.MOST_APART * 640)}
+        assert len(want) > 500 and got == want
+
+
 # SQL
 
 

@@ -277,21 +277,30 @@ def _meetings(fps: np.ndarray, prefix: int, bits: int, radius: int, width: int)
             yield who, first, np.diff(np.concatenate((first, [len(who)])))
 
 
+def _distinct(fps: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct fingerprints, all nodes in their order, where those of each start, and how many they are."""
+    order = np.lexsort((nodes, fps))
+    fps, nodes = fps[order], nodes[order]
+    first = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1])))
+    return fps[first], nodes, first, np.diff(np.concatenate((first, [len(fps)])))
+
+
 def attached(fps: np.ndarray, nodes: np.ndarray, prefix: int, bits: int, radius: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nodes, partners and distances: each node with the most central one whose ball shares a variant with its own, among variants that start with ``prefix``.
 
     The one that shares most variants is the most central: the text that the others are copies of is near to more of them
     than any copy is. Nodes of one fingerprint are linked to the least of them, which stands for them all.
     """
-    order = np.lexsort((nodes, fps))
-    fps, nodes = fps[order], nodes[order]
-    new = np.concatenate(([True], fps[1:] != fps[:-1]))
-    rep = nodes[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    places = _distinct(fps, nodes)
+    return _central(*places, list(_meetings(places[0], prefix, bits, radius, width)), prefix, bits, width)
+
+
+def _central(fps: np.ndarray, nodes: np.ndarray, at: np.ndarray, many: np.ndarray, met: list, prefix: int, bits: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # only the part that a fingerprint itself belongs to tells of its equals
-    same = ~new & ((fps >> np.uint64(width - bits)) == np.uint64(prefix))
-    out = [(nodes[same], rep[same], np.zeros(same.sum(), np.int64))]
-    fps, nodes = fps[new], nodes[new]
-    met = list(_meetings(fps, prefix, bits, radius, width))
+    same = np.repeat((fps >> np.uint64(width - bits)) == np.uint64(prefix), many)
+    same[at] = False
+    out = [(nodes[same], np.repeat(nodes[at], many)[same], np.zeros(same.sum(), np.int64))]
+    nodes = nodes[at]
     shared = np.zeros(len(fps))
     for who, _, size in met:
         shared += np.bincount(who, np.repeat(size, size), len(fps))
@@ -307,6 +316,44 @@ def attached(fps: np.ndarray, nodes: np.ndarray, prefix: int, bits: int, radius:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+#: Nodes that may share a variant, and fingerprints that one may meet in a part, before they count as crowded.
+CROWD, MEETS = 4, 8
+
+
+def _uncrowded(fps: np.ndarray, nodes: np.ndarray, at: np.ndarray, many: np.ndarray, met: list, prefix: int, bits: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of nodes that meet and aren't both crowded, as two arrays; and the crowded nodes, who share a variant with many.
+
+    Pairs of a variant are listed only where few share it, so their number grows with the rows.
+    """
+    crowded = many > CROWD
+    totals = [np.add.reduceat(many[who], first) for who, first, _ in met]
+    for (who, _, size), total in zip(met, totals, strict=True):
+        crowded[who[np.repeat(total > CROWD, size)]] = True
+    found = []
+    for (who, first, size), total in zip(met, totals, strict=True):
+        for k in np.unique(size[total <= CROWD]).tolist():
+            group = who[first[(size == k) & (total <= CROWD)][:, None] + np.arange(k)]
+            i, j = np.triu_indices(k, 1)
+            x, y = group[:, i].ravel(), group[:, j].ravel()
+            one = ~(crowded[x] & crowded[y])
+            found.append(np.unique(np.minimum(x, y)[one] * len(fps) + np.maximum(x, y)[one]))
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    x, y = pairs // len(fps), pairs % len(fps)
+    crowded |= np.bincount(np.concatenate([x, y]), minlength=len(fps)) > MEETS
+    one = ~(crowded[x] & crowded[y])
+    x, y = x[one], y[one]
+    # every node of the one with every node of the other
+    size = many[x] * many[y]
+    x, y, k = np.repeat(x, size), np.repeat(y, size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    a, b = [nodes[at[x] + k // many[y]]], [nodes[at[y] + k % many[y]]]
+    equal = np.repeat(np.where(~crowded & ((fps >> np.uint64(width - bits)) == np.uint64(prefix)), np.arange(len(fps)), -1), many)
+    for k in range(1, min(CROWD, len(nodes))):
+        same = np.flatnonzero((equal[k:] == equal[:-k]) & (equal[k:] >= 0))
+        a.append(nodes[same + k])
+        b.append(nodes[same])
+    return np.concatenate(a), np.concatenate(b), nodes[np.repeat(crowded, many)]
+
+
 def across(fps: np.ndarray, nodes: np.ndarray, roots: np.ndarray, seed: int, prefix: int, bits: int, radius: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nodes, partners and distances: each node with one of another root whose ball shares a variant with its own: the first in an order drawn by ``seed``."""
     order = np.lexsort((nodes, roots, fps))
@@ -324,14 +371,19 @@ def across(fps: np.ndarray, nodes: np.ndarray, roots: np.ndarray, seed: int, pre
     return nodes[found], nodes[best[found]], np.bitwise_count(fps[found] ^ fps[best[found]]).astype(np.int64)
 
 
-def candidates(rows: DataFrame, many: int, width: int, tables: int, radius: int, seed: int | None = None) -> DataFrame:
-    """(a, b, n) with a > b: each node of ``rows`` (node, fps) with the most central ones that it meets, and in how many tables.
+def _parts(fps: np.ndarray, entry: np.ndarray, width: int, bits: int, spread: np.ndarray) -> pa.RecordBatch:
+    """(part, body): the entry of each fingerprint of each row, once for each leading part that its variants have."""
+    table = np.tile(np.arange(fps.shape[1], dtype=np.uint64), len(fps))
+    part = ((table << np.uint64(bits))[:, None] | ((fps.ravel() >> np.uint64(width - bits))[:, None] ^ spread[None, :])).ravel()
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    bodies = [entry[x // len(spread)].tobytes() for x in np.split(order, first[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int64)), pa.array(bodies, pa.binary())], names=["part", "body"])
 
-    With a ``seed`` the rows have a root as well, and a node is given partners of other roots, in an order drawn anew for
-    each table. ``many`` bounds nodes and roots, which count from 0. A fingerprint goes once to each leading part that
-    its variants have, in as many bytes as it and its node need. A node has one partner in a part at most, and the
-    closest of them in a table, so links grow with the rows and not with the squares of groups.
-    """
+
+def _met(rows: DataFrame, many: int, width: int, tables: int, radius: int, seed: int | None = None) -> DataFrame:
+    """(t, a, b, d): per table t whom each node meets, at distance d; -1 where all that it meets are listed, and for a crowded node with itself."""
     if radius % 2:
         raise ValueError("radius must be even")
     half = radius // 2
@@ -346,16 +398,10 @@ def candidates(rows: DataFrame, many: int, width: int, tables: int, radius: int,
         for batch in stream:
             if not batch.num_rows:
                 continue
-            fps = np.array(batch.column(0).to_pylist(), np.int64).view("<u8").ravel()
+            fps = np.array(batch.column(0).to_pylist(), np.int64).view("<u8")
             numbers = [np.repeat(c.to_numpy().astype("<u8"), tables) for c in batch.columns[1:]]
-            entry = np.concatenate([x.view(np.uint8).reshape(-1, 8)[:, :k] for x, k in zip([fps, *numbers], sizes, strict=True)], axis=1)
-            table = np.tile(np.arange(tables, dtype=np.uint64), batch.num_rows)
-            part = ((table << np.uint64(bits))[:, None] | ((fps >> np.uint64(width - bits))[:, None] ^ spread[None, :])).ravel()
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            bodies = [entry[x // len(spread)].tobytes() for x in np.split(order, first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int64)), pa.array(bodies, pa.binary())], names=["part", "body"])
+            entry = np.concatenate([x.view(np.uint8).reshape(-1, 8)[:, :k] for x, k in zip([fps.ravel(), *numbers], sizes, strict=True)], axis=1)
+            yield _parts(fps, entry, width, bits, spread)
 
     def done(part: int, bodies: list[bytes]) -> pa.RecordBatch:
         entry = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, ends[-1])
@@ -363,15 +409,192 @@ def candidates(rows: DataFrame, many: int, width: int, tables: int, radius: int,
         for k, (size, end) in enumerate(zip(sizes, ends, strict=True)):
             wide[k, :, :size] = entry[:, end - size : end]
         fps, *numbers = wide.view("<u8")[:, :, 0]
-        numbers, place = [x.astype(np.int64) for x in numbers], (part & ((1 << bits) - 1), bits, radius, width)
-        a, b, d = attached(fps, *numbers, *place) if seed is None else across(fps, *numbers, seed * tables + (part >> bits) + 1, *place)
+        numbers, prefix = [x.astype(np.int64) for x in numbers], part & ((1 << bits) - 1)
+        if seed is None:
+            places = _distinct(fps, *numbers)
+            rest = [list(_meetings(places[0], prefix, bits, radius, width)), prefix, bits, width]
+            x, y, crowd = _uncrowded(*places, *rest)
+            a, b, d = _central(*places, *rest)
+            # the others have all theirs listed
+            held = np.isin(a, crowd)
+            a, b, d = np.concatenate([a[held], x, crowd]), np.concatenate([b[held], y, crowd]), np.concatenate([d[held], np.full(len(x) + len(crowd), -1)])
+        else:
+            a, b, d = across(fps, *numbers, seed * tables + (part >> bits) + 1, prefix, bits, radius, width)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), part >> bits, np.int32)), pa.array(a), pa.array(b), pa.array(d.astype(np.int32))], names=["t", "a", "b", "d"])
 
     columns = ["fps", "node", *(["root"] if seed is not None else [])]
     dealt = rows.select(*columns).mapInArrow(deal, "part long, body binary").repartition("part").sortWithinPartitions("part")
-    met = dealt.mapInArrow(lambda stream: _by_key(stream, done), "t int, a long, b long, d int")
-    closest = met.groupBy("a", "t").agg(F.min(F.struct("d", "b")).alias("c")).select("a", F.col("c.b").alias("b"))
-    return closest.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return dealt.mapInArrow(lambda stream: _by_key(stream, done), "t int, a long, b long, d int")
+
+
+def _in_tables(met: DataFrame) -> DataFrame:
+    """(a, b, n) with a > b: the pairs of ``_met``, of those with a distance the closest of a node in a table, and in how many tables."""
+    closest = met.where("d >= 0").groupBy("a", "t").agg(F.min(F.struct("d", "b")).alias("c")).select("a", F.col("c.b").alias("b"), "t")
+    pairs = closest.union(met.where("d < 0 AND a <> b").select("a", "b", "t"))
+    return pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, t)"))).alias("n"))
+
+
+def candidates(rows: DataFrame, many: int, width: int, tables: int, radius: int, seed: int | None = None) -> DataFrame:
+    """(a, b, n) with a > b: whom each node of ``rows`` (node, fps) meets, of crowded nodes the most central, and in how many tables.
+
+    With a ``seed`` the rows have a root as well, and a node is given partners of other roots, in an order drawn anew for
+    each table. ``many`` bounds nodes and roots, which count from 0. A fingerprint goes once to each leading part that
+    its variants have, in as many bytes as it and its node need. A crowded node has one partner in a part at most, and the
+    closest of them in a table, so links grow with the rows and not with the squares of groups; what it meets besides are
+    crowded ones, and ``_crossing`` has those pairs.
+    """
+    return _in_tables(_met(rows, many, width, tables, radius, seed))
+
+
+#: Crowded nodes of a block. Pairs of two blocks are verified together, so that a set is sent once for all of these.
+BLOCK = 128
+#: Variants of one table that a part of ``_crossing`` holds, about, and pairs that it holds at a time.
+CROWD_VARIANTS, PAIRS = 32_000_000, 50_000
+#: Pairs from which on a part of ``_crossing`` tells what it has found so far.
+TOLD = 1_000_000
+
+
+def _most_apart(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
+    """Of how many bits two sets of these sizes may differ in to be verified."""
+    return np.where(np.minimum(x, y) < FEW, int(MOST_APART_FEW * bits), int(MOST_APART * bits))
+
+
+def crossing(fps: np.ndarray, roots: np.ndarray, sizes: np.ndarray, table: int, prefix: int, bits: int, radius: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places x < y of ``fps`` (a row of all tables each): all that meet first in this table, have different roots and may be alike.
+
+    Those who share a variant are ordered by their root, so that only pairs of different roots are gone through. A pair may
+    be told of more than once.
+    """
+    order = np.argsort(roots, kind="stable")
+    fps, roots, sizes = fps[order], roots[order], sizes[order]
+    new = np.flatnonzero(np.concatenate(([True], roots[1:] != roots[:-1])))
+    # _meetings keeps no order within a variant
+    for who, first, size in _meetings(np.ascontiguousarray(fps[:, table]), prefix, bits, radius, width):
+        group = np.repeat(np.arange(len(first)), size)
+        who = who[np.lexsort((who, group))]
+        run = new[np.searchsorted(new, who, "right") - 1]
+        start = first[group]
+        fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (run[1:] != run[:-1])))
+        before = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] - start
+        ends = np.cumsum(before)
+        lo = 0
+        while lo < len(who):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+            n = before[lo:hi]
+            mine = np.repeat(np.arange(lo, hi), n)
+            other = start[mine] + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
+            pairs = np.unique(who[mine] * len(fps) + who[other])
+            x, y = pairs // len(fps), pairs % len(fps)
+            small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+            near = small * SHARE[1] >= large * SHARE[0]
+            x, y = x[near], y[near]
+            apart = np.bitwise_count(fps[x] ^ fps[y])
+            good = (apart.sum(axis=1, dtype=np.int64) <= _most_apart(sizes[x], sizes[y], width * fps.shape[1])) & ~(apart[:, :table] <= radius).any(axis=1)
+            x, y = order[x[good]], order[y[good]]
+            if len(x):
+                yield np.minimum(x, y), np.maximum(x, y)
+            lo = hi
+
+
+def _crossing(rows: DataFrame, many: int, nodes: int, width: int, tables: int, radius: int) -> DataFrame:
+    """(cell, body): a row for each two blocks that have some, all pairs of ``crossing`` among ``rows`` (fps, place, root, size).
+
+    ``many`` bounds the places and ``nodes`` the roots. A cell's body has each end's number within its block in a byte.
+    """
+    half = radius // 2
+    ball = sum(comb(width, i) for i in range(half + 1))
+    bits = min(24, max(2, (many * ball // CROWD_VARIANTS).bit_length()))
+    spread = _masks(bits, half)
+    wide, narrow = -(-width // 8), [max(1, -(-max(1, x).bit_length() // 8)) for x in (many, nodes)] + [5]
+    ends = (tables * wide + np.cumsum([0, *narrow])).tolist()
+
+    def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in stream for part in few_rows(whole)):
+            fps = np.array(batch.column(0).to_pylist(), np.int64).view("<u8")
+            body = fps.view(np.uint8).reshape(len(fps), tables, 8)[:, :, :wide].reshape(len(fps), -1)
+            numbers = [c.to_numpy().astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k] for c, k in zip(batch.columns[1:], narrow, strict=True)]
+            yield _parts(fps, np.repeat(np.concatenate([body, *numbers], axis=1), tables, axis=0), width, bits, spread)
+
+    def done(part: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+        entry = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, ends[-1])
+        fps = np.zeros((len(entry), tables, 8), np.uint8)
+        fps[:, :, :wide] = entry[:, : ends[0]].reshape(-1, tables, wide)
+        numbers = np.zeros((3, len(entry), 8), np.uint8)
+        for k, size in enumerate(narrow):
+            numbers[k, :, :size] = entry[:, ends[k] : ends[k + 1]]
+        place, root, size = numbers.view("<u8")[:, :, 0].astype(np.int64)
+        found, new = np.zeros(0, np.int64), []
+        for x, y in crossing(fps.view("<u8")[:, :, 0], root, size, part >> bits, part & ((1 << bits) - 1), bits, radius, width):
+            new.append(np.minimum(place[x], place[y]) << 32 | np.maximum(place[x], place[y]))
+            if sum(map(len, new)) > TOLD:
+                found, new = np.unique(np.concatenate([found, *new])), []
+                if len(found) > TOLD:
+                    yield told(found)
+                    found = found[:0]
+        if len(found) or new:
+            yield told(np.unique(np.concatenate([found, *new])))
+
+    def told(found: np.ndarray) -> pa.RecordBatch:
+        x, y = found >> 32, found & 0xFFFFFFFF
+        cell = x // BLOCK << 32 | y // BLOCK
+        order = np.argsort(cell, kind="stable")
+        cell, inner = cell[order], np.stack([x[order] % BLOCK, y[order] % BLOCK], axis=1).astype(np.uint8)
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(cell[first]), pa.array([x.tobytes() for x in np.split(inner, first[1:])], pa.binary())], names=["cell", "body"])
+
+    def merged(cell: int, bodies: list[bytes]) -> pa.RecordBatch:
+        inner = np.unique(np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, 2), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([inner.tobytes()], pa.binary())], names=["cell", "body"])
+
+    dealt = rows.select("fps", "place", "root", "size").mapInArrow(deal, "part long, body binary").repartition("part").sortWithinPartitions("part")
+    found = dealt.mapInArrow(lambda stream: (batch for found in _by_key(stream, done) for batch in found), "cell long, body binary")
+    return found.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda stream: _by_key(stream, merged), "cell long, body binary")
+
+
+def _ends(cell: int, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places that a cell has."""
+    inner = np.frombuffer(body, np.uint8).reshape(-1, 2).astype(np.int64)
+    return (cell >> 32) * BLOCK + inner[:, 0], (cell & 0xFFFFFFFF) * BLOCK + inner[:, 1]
+
+
+def _cell_places(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, place) for the places that the bodies of cells have."""
+    for batch in stream:
+        if batch.num_rows:
+            found = [(cell, np.unique(np.concatenate(_ends(cell, body)))) for cell, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            cells = np.repeat([cell for cell, _ in found], [len(place) for _, place in found])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.concatenate([place for _, place in found]))], names=["cell", "place"])
+
+
+def _verified_cells(cells: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes for the pairs of ``cells`` that are alike; a cell is sent those of ``sets`` (place, node, body) that are ``wanted`` in it."""
+
+    def linked(cell: int, pairs: bytes, known: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        number = {place: k for k, place in enumerate(known)}
+        union, out = _Union(len(known)), []
+        for x, y in zip(*(e.tolist() for e in _ends(cell, pairs)), strict=True):
+            if union.find(number[x]) != union.find(number[y]) and alike(known[x][1], known[y][1]):
+                union.join(number[x], number[y])
+                out.append((known[x][0], known[y][0]))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pairs, known = None, b"", {}
+        for batch in (part for whole in stream for part in few_rows(whole)):
+            for cell, place, node, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != now:
+                    if pairs:
+                        yield linked(now, pairs, known)
+                    now, pairs, known = cell, b"", {}
+                if place < 0:
+                    pairs = body
+                else:
+                    known[place] = node, np.frombuffer(body, np.uint64)
+        if pairs:
+            yield linked(now, pairs, known)
+
+    both = wanted.join(sets, "place").select("cell", "place", "node", "body").union(cells.select("cell", F.lit(-1).cast("long"), F.lit(-1).cast("long"), "body"))
+    return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
 def _numbered(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -430,14 +653,36 @@ def _similar(rows: DataFrame, words: int, width: int, tables: int, radius: int)
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Chance pairs agree in the bits of one table only, and are told by those of all."""
-        return cut(pairs.join(end("a", "x"), "a").join(end("b", "y"), "b").where(apart <= most).select("a", "b", "n"))
+        sized = F.least("size_x", "size_y") * SHARE[1] >= F.greatest("size_x", "size_y") * SHARE[0]
+        return cut(pairs.join(end("a", "x"), "a").join(end("b", "y"), "b").where(sized & (apart <= most)).select("a", "b", "n"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The text of each set that is asked for is fetched once, from any of the rows that have it."""
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("first.digest").alias("digest")), "node"))
+    def fetched(nodes: DataFrame) -> DataFrame:
+        """(node, text): the text of each set that is asked for is fetched once, from any of the rows that have it."""
+        wanted = cut(nodes.distinct().join(classes.select("node", F.col("first.digest").alias("digest")), "node"))
         few = F.broadcast(wanted) if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
-        texts = keyed.select("digest", "text").join(few, "digest").groupBy("node").agg(F.first("text").alias("text"))
-        return cut(_verified(pairs, texts, words))
+        return keyed.select("digest", "text").join(few, "digest").groupBy("node").agg(F.first("text").alias("text"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return cut(_verified(pairs, fetched(pairs.select(F.explode(F.array("a", "b")).alias("node"))), words))
+
+    def crossed(crowd: DataFrame, root: DataFrame) -> DataFrame:
+        """(a, b): all links among crowded nodes of different roots; those around one text are neighbours in place and share blocks."""
+        both = pairs.select("a", "b", "n").union(pairs.select("b", "a", "n"))
+        hub = both.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("hub"))
+        held = classes.select("node", "fps", "size").join(crowd, "node").join(root, "node", "left").join(hub, "node", "left")
+        ordered = held.select("node", "fps", "size", F.coalesce("root", "node").alias("root"), F.coalesce(-F.col("hub.b"), "node").alias("hub")).orderBy("hub", "node")
+        placed, total = _numbered(cut(ordered), "place")
+        placed = cut(placed)
+        cells = cut(_crossing(placed, total, many, width, tables, radius))
+        wanted = cells.mapInArrow(_cell_places, "cell long, place long")
+        asked = wanted.select("place").distinct().join(placed.select("place", "node"), "place")
+        sets = fetched(asked.select("node")).mapInArrow(hashed, "node long, body binary").join(asked, "node")
+        return cut(_verified_cells(cells, wanted, sets))
+
+    def hashed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in stream for part in few_rows(whole)):
+            sets = [shingle_set(x, words).tobytes() for x in blobs(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "body"])
 
     def parted(pairs: DataFrame, root: DataFrame) -> DataFrame:
         """Those of the pairs whose ends have different roots."""
@@ -451,20 +696,18 @@ def _similar(rows: DataFrame, words: int, width: int, tables: int, radius: int)
         next_down = down.select(F.col("a").alias("b"), F.col("b").alias("c"))
         return cut(down.join(next_down, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("root")))
 
-    pairs = likely(candidates(classes, many, width, tables, radius))
+    met = cut(_met(classes, many, width, tables, radius))
+    pairs = likely(_in_tables(met))
+    crowd = cut(met.where("a = b").select(F.col("a").alias("node")).distinct())
     # each node's most frequent candidate first; the others only where that leaves two roots
     best = cut(pairs.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("most")).select("a", (-F.col("most.b")).alias("b")))
     edges = verified(best)
     rest = cut(parted(pairs.join(best, ["a", "b"], "left_anti"), steps(edges)))
     if not rest.isEmpty():
         edges = cut(edges.union(verified(rest)))
-    # a node's partner may hide another that is alike: where pairs met in vain, look again in another order
-    root = steps(edges)
-    vain = cut(parted(pairs, root).select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    if not vain.isEmpty():
-        held = classes.select("node", "fps").join(vain, "node").join(root, "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root"))
-        again = candidates(held, many, width, tables, radius, seed=1).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        edges = cut(edges.union(verified(likely(again))))
+    # a crowded node's partner may hide others that are alike: all pairs of crowded nodes whose roots still differ
+    if not crowd.isEmpty():
+        edges = cut(edges.union(crossed(crowd, steps(edges))))
     root = connected_components(edges)
     rooted = classes.select("set", "first", "node").join(root, "node", "left").select("set", "first", F.coalesce("root", "node").alias("root"))
     named = meet(rooted, rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("set", "least")
